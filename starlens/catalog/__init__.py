@@ -6,7 +6,7 @@ from importlib import import_module
 
 from starlens.catalog.base import REGISTRY, Query
 
-MODULES = ("text",)
+MODULES = ("text", "ratings", "evaluation", "sampling")
 
 
 def load() -> dict[str, Query]:

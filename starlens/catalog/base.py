@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starlens.sources.tables import spread
+
 Runner = Callable[[SparkSession, str], DataFrame]
 
 
@@ -102,7 +104,7 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
     """(review_id, review_body, stars, place_name, n_chars)"""
     endings = F.array(*[F.lit(e) for e in ENDINGS])
     body = F.concat(F.col("text"), F.lit(" "), F.element_at(endings, (F.col("doc_id") % 12 + 1).cast("int")))
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         F.col("doc_id").alias("review_id"),
         body.alias("review_body"),
         (F.lit(1) + (F.col("doc_id") * 7 + F.col("n_chars")) % 5).cast("int").alias("stars"),
@@ -124,6 +126,24 @@ part(
 )
 
 
+def chats(spark: SparkSession, folder: str) -> DataFrame:
+    """A second review source: (review_id, review_body, stars)."""
+    return table(spark, folder, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("review_id"),
+        F.col("text").alias("review_body"),
+        (F.lit(1) + (F.col("conv_id") * 3 + F.col("turn")) % 5).cast("int").alias("stars"),
+    )
+
+
+part(
+    "chats",
+    """
+    SELECT conv_id * 1000 + turn AS review_id, text AS review_body,
+           CAST(1 + (conv_id * 3 + turn) % 5 AS INTEGER) AS stars FROM conversations
+    """,
+)
+
+
 def rated(spark: SparkSession, folder: str) -> DataFrame:
     """(review_id, user_rating, place_name, ai_expected_rating) of the first model."""
     _, a, b = MODELS[0]

@@ -146,14 +146,25 @@ def _default_words() -> tuple[str, ...]:
 
 
 def token_pattern(words: Iterable[str] | None = None) -> str:
-    """Longest lexicon word first, then word runs, numbers, Thai clusters, blanks, rest."""
+    """Longest lexicon word first, then word runs, numbers, Thai clusters, blanks, rest.
+
+    Lexicon words are grouped by their first letter, so a position is tried
+    against the few words that can start there.
+    """
     ordered = sorted(words if words is not None else _default_words(), key=lambda w: (-len(w), w))
-    parts = [re.escape(w) for w in ordered]
-    parts += [
+    groups: dict[str, list[str]] = {}
+    for word in ordered:
+        groups.setdefault(word[0], []).append(re.escape(word[1:]))
+    by_letter = {first: f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in groups.items()}
+    thai = [p for first, p in sorted(by_letter.items()) if "\u0e00" <= first <= "\u0e7f"]
+    other = [p for first, p in sorted(by_letter.items()) if not "\u0e00" <= first <= "\u0e7f"]
+    parts = [
+        *other,
         r"[a-zA-Z\x{00C0}-\x{024F}]+",
         r"\p{Nd}+",
-        r"[เ-ไ]?[ก-ฮ][ะ-ฺ็-๎]*",
         r"\s+",
+        *thai,
+        r"[เ-ไ]?[ก-ฮ][ะ-ฺ็-๎]*",
         r"[^\s]",
     ]
     return "|".join(parts)

@@ -37,7 +37,7 @@ SUMMARY_METRICS = (
 
 def _ratio(part: Column, whole: Column) -> Column:
     """Zero where the denominator is zero."""
-    return F.when(whole > 0, part / F.when(whole > 0, whole)).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
 def _total(values: list[Column]) -> Column:
@@ -56,7 +56,10 @@ def counts(
     min_delta: int = 2,
     hard: bool = False,
 ) -> DataFrame:
-    """One row per model: n, error sums, confusion cells c11..c55, flag counts."""
+    """One row per model: n, error sums, flag counts, confusion cells c11..c55.
+
+    Also the rows per true star (t1..t5) and per predicted star (p1..p5).
+    """
     y = F.col(truth).cast("int")
     pred = ratings.clip_star(F.col(expected))
     value = pred.cast("double") if hard else F.col(expected).cast("double")
@@ -65,6 +68,8 @@ def counts(
     cells = [
         F.count_if((F.col("y") == t) & (F.col("p") == p)).alias(f"c{t}{p}") for t in STARS for p in STARS
     ]
+    cells += [F.count_if(F.col("y") == s).alias(f"t{s}") for s in STARS]
+    cells += [F.count_if(F.col("p") == s).alias(f"p{s}") for s in STARS]
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.sum("d").alias("abs_sum"),
@@ -80,17 +85,15 @@ def _cell(t: int, p: int) -> Column:
     return F.col(f"c{t}{p}")
 
 
-def _class_numbers(star: int) -> tuple[Column, Column, Column]:
-    """True positives, predicted rows, true rows of a star."""
-    hit = _cell(star, star)
-    predicted = _total([_cell(t, star) for t in STARS])
-    support = _total([_cell(star, p) for p in STARS])
-    return hit, predicted, support
-
-
-def _f1(star: int) -> Column:
-    hit, predicted, support = _class_numbers(star)
-    return _ratio(2 * hit, predicted + support)
+def _class_scores(wide: DataFrame) -> DataFrame:
+    """Add precision, recall and F1 of every star (pr1.., re1.., f1..)."""
+    scores = {}
+    for s in STARS:
+        hit, predicted, support = _cell(s, s), F.col(f"p{s}"), F.col(f"t{s}")
+        scores[f"pr{s}"] = _ratio(hit, predicted)
+        scores[f"re{s}"] = _ratio(hit, support)
+        scores[f"f{s}"] = _ratio(2 * hit, predicted + support)
+    return wide.withColumns(scores)
 
 
 def bundle(df: DataFrame, by: Sequence[str] = ("model",), **options) -> DataFrame:
@@ -98,25 +101,24 @@ def bundle(df: DataFrame, by: Sequence[str] = ("model",), **options) -> DataFram
     n = F.col("n_samples")
     hits = _total([_cell(s, s) for s in STARS])
     near = _total([_cell(t, p) for t in STARS for p in STARS if abs(t - p) <= 1])
-    present = _total([F.when(_class_numbers(s)[1] + _class_numbers(s)[2] > 0, 1).otherwise(0) for s in STARS])
-    recall = {s: _ratio(_class_numbers(s)[0], _class_numbers(s)[2]) for s in STARS}
-    return counts(df, by, **options).select(
+    present = _total([F.when(F.col(f"p{s}") + F.col(f"t{s}") > 0, 1).otherwise(0) for s in STARS])
+    return _class_scores(counts(df, by, **options)).select(
         *by,
         "n_samples",
         (F.col("abs_sum") / n).alias("mae"),
         F.sqrt(F.col("square_sum") / n).alias("rmse"),
         (hits / n).alias("accuracy"),
-        (_total([_f1(s) for s in STARS]) / present).alias("f1_macro"),
-        (_total([_f1(s) * _class_numbers(s)[2] for s in STARS]) / n).alias("f1_weighted"),
+        (_total([F.col(f"f{s}") for s in STARS]) / present).alias("f1_macro"),
+        (_total([F.col(f"f{s}") * F.col(f"t{s}") for s in STARS]) / n).alias("f1_weighted"),
         (near / n).alias("off_by_one_accuracy"),
-        recall[1].alias("recall_star_1"),
-        recall[2].alias("recall_star_2"),
+        F.col("re1").alias("recall_star_1"),
+        F.col("re2").alias("recall_star_2"),
         (F.col("flags") / n).alias("anomaly_rate"),
         _ratio(F.col("both"), F.col("flags")).alias("anomaly_precision"),
         _ratio(F.col("both"), F.col("severes")).alias("anomaly_recall"),
         _ratio(2 * F.col("both"), F.col("flags") + F.col("severes")).alias("anomaly_f1"),
         (F.col("severes") / n).alias("severe_error_rate"),
-        F.array(*[recall[s] for s in STARS]).alias("per_class_recall"),
+        F.array(*[f"re{s}" for s in STARS]).alias("per_class_recall"),
     )
 
 
@@ -144,19 +146,16 @@ def class_report(df: DataFrame, by: Sequence[str] = ("model",), **options) -> Da
         names = ("precision", "recall", "f1", "support")
         return F.struct(F.lit(label).alias("label"), *[v.alias(k) for k, v in zip(names, values, strict=True)])
 
-    per_star, supports = [], []
-    for s in STARS:
-        hit, predicted, support = _class_numbers(s)
-        per_star.append([_ratio(hit, predicted), _ratio(hit, support), _f1(s)])
-        supports.append(support)
-    everything = _total(supports)
+    per_star = [[F.col(f"pr{s}"), F.col(f"re{s}"), F.col(f"f{s}")] for s in STARS]
+    supports = [F.col(f"t{s}") for s in STARS]
+    everything = F.col("n_samples")
     macro = [_total([v[i] for v in per_star]) / F.lit(float(len(STARS))) for i in range(3)]
     weighted = [
         _ratio(_total([v[i] * n for v, n in zip(per_star, supports, strict=True)]), everything) for i in range(3)
     ]
     rows = [row(str(s), [*v, n]) for s, v, n in zip(STARS, per_star, supports, strict=True)]
     rows += [row("macro avg", [*macro, everything]), row("weighted avg", [*weighted, everything])]
-    wide = counts(df, by, **options)
+    wide = _class_scores(counts(df, by, **options))
     return wide.select(*by, F.explode(F.array(*rows)).alias("r")).select(*by, "r.*")
 
 

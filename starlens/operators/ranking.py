@@ -80,17 +80,16 @@ def cut_segments(
     )
     empty_key = F.lit(None).cast(narrow.schema["_k"].dataType)
     zeros = hits.filter("place = 0").select("_s", empty_key.alias("_k"), F.lit(1).alias("zero"))
+    # One row per stratum.
     lookup = (
         limits.unionByName(zeros)
         .groupBy("_s")
-        .agg(F.sum("zero").cast("int").alias("zeros"), F.collect_list("_k").alias("keys"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("_s", F.struct("zeros", "keys")))).alias("lookup"))
-        .scalar()
+        .agg(F.sum("zero").cast("int").alias("_zeros"), F.collect_list("_k").alias("_limits"))
     )
     group = F.lit(0) if stratum is None else stratum.cast("int")
-    own = F.try_element_at(lookup, group)
-    passed = F.size(F.filter(own["keys"], lambda limit: key > limit))
-    return df.withColumn(name, F.coalesce(own["zeros"] + passed, F.lit(0)))
+    marked = df.withColumn("_s", group).join(F.broadcast(lookup), "_s", "left")
+    passed = F.size(F.filter("_limits", lambda limit: key > limit))
+    return marked.withColumn(name, F.coalesce(F.col("_zeros") + passed, F.lit(0))).drop("_s", "_zeros", "_limits")
 
 
 def ordinal(
