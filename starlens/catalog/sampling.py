@@ -11,6 +11,7 @@ from starlens.functions import text as T
 from starlens.operators import augment, clean, distribution, pairs, resample
 from starlens.params import Params
 from starlens.plans.training_set import prepare_training_set
+from starlens.session import stage
 
 
 def ids(spark, folder):
@@ -122,7 +123,7 @@ part(
 
 @query("u03_mix_mock", "SELECT * FROM mixed")
 def u03(spark, folder):
-    base = cleaned(spark, folder).select("review_id", "text", "user_rating")
+    base = stage(cleaned(spark, folder).select("review_id", "text", "user_rating"))
     return resample.mix_mock(base, mock(spark, folder), 0.02)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,10 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, eager: bool = False) -> DataFrame:
-    """Cut the lineage in reliable storage, so a lost executor costs no recomputation."""
+def stage(df: DataFrame) -> DataFrame:
+    """Write a table that several later passes read, and go on from the written files.
+
+    The files lie in the shared folder, so a lost executor costs no
+    recomputation of what came before, and later passes read only the columns
+    they need.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=eager)
+    path = f"{shared_dir(spark).rstrip('/')}/starlens-stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
