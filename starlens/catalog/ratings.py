@@ -11,6 +11,8 @@ from starlens.catalog.text import cleaned, standard
 from starlens.functions import ratings as R
 from starlens.functions import text as T
 from starlens.operators import clean, distribution, standard as S
+from starlens.operators.once import compute_once
+from starlens.sources.tables import spread
 
 STAR_LIST = "(VALUES (1), (2), (3), (4), (5)) AS stars5(star)"
 
@@ -91,9 +93,8 @@ part("plain_texts", f"SELECT doc_id AS review_id, {Q.normalize('text')} AS text
 
 
 def plain_texts(spark, folder):
-    return table(spark, folder, "documents").select(
-        F.col("doc_id").alias("review_id"), T.normalize(F.col("text")).alias("text")
-    )
+    docs = spread(table(spark, folder, "documents"), "doc_id").select(F.col("doc_id").alias("review_id"), "text")
+    return compute_once(docs, "text", T.normalize(F.col("text")))
 
 
 for _keep, _sql in {

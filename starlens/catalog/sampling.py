@@ -10,6 +10,7 @@ from starlens.catalog.text import cleaned, standard
 from starlens.functions import text as T
 from starlens.operators import augment, clean, distribution, pairs, resample
 from starlens.params import Params
+from starlens.operators.once import compute_once
 from starlens.plans.training_set import prepare_training_set
 from starlens.session import stage
 
@@ -101,10 +102,10 @@ def mock(spark, folder):
     """Cleaned mock reviews."""
     raw = table(spark, folder, "benchmark").select(
         (-1 - F.col("item_id")).alias("review_id"),
-        T.extended(F.col("text")).alias("text"),
+        "text",
         (F.col("item_id") % 5 + 1).cast("int").alias("user_rating"),
     )
-    return clean.clean_reviews(raw)
+    return clean.clean_reviews(compute_once(raw, "text", T.extended(F.col("text"))))
 
 
 part(

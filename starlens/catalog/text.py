@@ -9,13 +9,13 @@ from starlens.catalog import sqltext as Q
 from starlens.catalog.base import part, query, reviews, table
 from starlens.functions import text as T
 from starlens.operators import clean
+from starlens.operators.once import compute_once
 
 
 def standard(spark, folder):
     """Extended-normalised reviews."""
-    return reviews(spark, folder).select(
-        "review_id", T.extended(F.col("review_body")).alias("text"), F.col("stars").alias("user_rating"), "place_name", "n_chars"
-    )
+    texts = compute_once(reviews(spark, folder), "text", T.extended(F.col("review_body")))
+    return texts.select("review_id", "text", F.col("stars").alias("user_rating"), "place_name", "n_chars")
 
 
 def cleaned(spark, folder):
@@ -88,7 +88,7 @@ part("review_tokens", f"SELECT review_id, user_rating, text, {Q.tokens('text')}
 
 @query("f12_tokens", "SELECT review_id, len(words) AS n_tokens, array_to_string(words, '|') AS tokens FROM review_tokens")
 def f12(spark, folder):
-    words = standard(spark, folder).select("review_id", F.explode(F.array(T.tokens(F.col("text")))).alias("words"))
+    words = compute_once(standard(spark, folder), "words", T.tokens(F.col("text")))
     return words.select(
         "review_id", F.size("words").cast("long").alias("n_tokens"), F.array_join("words", "|").alias("tokens")
     )
@@ -101,7 +101,7 @@ def f12(spark, folder):
        FROM review_tokens""",
 )
 def f13(spark, folder):
-    words = standard(spark, folder).select("review_id", F.explode(F.array(T.tokens(F.col("text")))).alias("words"))
+    words = compute_once(standard(spark, folder), "words", T.tokens(F.col("text")))
     return words.select("review_id", F.array_join(T.word_ngrams(F.col("words"), 1, 2), "|").alias("grams"))
 
 
@@ -161,7 +161,7 @@ def f16(spark, folder):
               ELSE list_concat(words[1:63], words[-63:]) END, '') AS text FROM review_tokens""",
 )
 def f18(spark, folder):
-    words = standard(spark, folder).select("review_id", F.explode(F.array(T.tokens(F.col("text")))).alias("words"))
+    words = compute_once(standard(spark, folder), "words", T.tokens(F.col("text")))
     return words.select("review_id", F.array_join(T.head_tail(F.col("words"), 128), "").alias("text"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from starlens import lexicon
 from starlens.functions import ratings, text as T
+from starlens.operators.once import compute_once
 
 
 def pick_column(columns: Sequence[str], aliases: Sequence[str], kind: str) -> str:
@@ -57,7 +58,7 @@ def standardise(
     normaliser: Callable[[Column], Column] = T.extended,
     on_invalid: str = "raise",
 ) -> DataFrame:
-    """Aliases, ratings, range and text normalisation in one projection."""
+    """Aliases, ratings, range and text normalisation without a shuffle."""
     out = coerce_ratings(resolve_columns(df))
     if on_invalid == "raise":
         out = require_range(out)
@@ -65,4 +66,4 @@ def standardise(
         out = split_range(out)[0]
     else:
         raise ValueError(f"unknown on_invalid: {on_invalid}")
-    return out.withColumn("text", normaliser(F.col("text")))
+    return compute_once(out, "text", normaliser(F.col("text")))
