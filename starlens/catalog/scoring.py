@@ -56,15 +56,15 @@ def docs(spark, folder):
     return vectorise.by_document(standard(spark, folder))
 
 
-def word_vocab(spark, folder, counts=None):
-    counts = vectorise.word_counts(docs(spark, folder)) if counts is None else counts
-    return vectorise.fit_vocabulary(counts, ranking.count_of(standard(spark, folder)), MAX_WORDS)
+def word_vocab(spark, folder, terms=None):
+    terms = vectorise.word_terms(docs(spark, folder)) if terms is None else terms
+    return vectorise.fit_vocabulary(terms, ranking.count_of(reviews(spark, folder)), MAX_WORDS)
 
 
 @query("a25_term_totals", "SELECT * FROM word_totals WHERE df >= 2 AND df <= 0.9e0 * (SELECT count(*) FROM standard)")
 def a25(spark, folder):
-    totals = vectorise.term_totals(vectorise.word_counts(docs(spark, folder)))
-    return vectorise.prune(totals, ranking.count_of(standard(spark, folder)))
+    totals = vectorise.term_totals(vectorise.term_counts(vectorise.word_terms(docs(spark, folder))))
+    return vectorise.prune(totals, ranking.count_of(reviews(spark, folder)))
 
 
 @query("w06_vocabulary", "SELECT term, df, ctf, round(idf, 6) AS idf FROM word_vocab")
@@ -74,15 +74,15 @@ def w06(spark, folder):
 
 @query("m01_j05_word_tfidf", "SELECT review_id, term, round(weight, 6) AS weight FROM word_weights")
 def m01(spark, folder):
-    counts = vectorise.word_counts(docs(spark, folder))
-    return r6(vectorise.weigh(counts, word_vocab(spark, folder, counts)), "weight")
+    terms = vectorise.word_terms(docs(spark, folder))
+    return r6(vectorise.weigh(terms, word_vocab(spark, folder, terms)), "weight")
 
 
 @query("m02_char_tfidf", "SELECT review_id, term, round(weight, 6) AS weight FROM char_weights")
 def m02(spark, folder):
-    counts = vectorise.char_counts(docs(spark, folder))
-    vocab = vectorise.fit_vocabulary(counts, ranking.count_of(standard(spark, folder)), MAX_GRAMS)
-    return r6(vectorise.weigh(counts, vocab), "weight")
+    terms = vectorise.char_terms(docs(spark, folder))
+    vocab = vectorise.fit_vocabulary(terms, ranking.count_of(reviews(spark, folder)), MAX_GRAMS)
+    return r6(vectorise.weigh(terms, vocab), "weight")
 
 
 # --- a stored linear model: coefficients in hundredths, drawn from the term ----
@@ -134,7 +134,7 @@ _logit_parts("doc", "word_weights", "standard", "review_id")
 def m14(spark, folder):
     m = model(spark, folder)
     texts = docs(spark, folder)
-    weighted = vectorise.weigh(vectorise.word_counts(texts), m.vocabulary)
+    weighted = vectorise.weigh(vectorise.word_terms(texts), m.vocabulary)
     out = linear.predict(texts, weighted, m.coefficients, m.intercepts)
     return r6(out.select("review_id", "ai_expected_rating", F.col("probs")[4].alias("p5")), "ai_expected_rating", "p5")
 

@@ -124,7 +124,7 @@ part(
 def f14(spark, folder):
     from starlens.operators import vectorise as V
 
-    counts = V.char_counts(V.by_document(standard(spark, folder)))
+    counts = V.term_counts(V.char_terms(V.by_document(standard(spark, folder))))
     return counts.groupBy("review_id").agg(
         F.sum("tf").alias("grams"), F.count(F.lit(1)).alias("distinct_grams"), F.max("term").alias("last_gram")
     )

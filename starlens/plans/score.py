@@ -24,8 +24,8 @@ class LinearModel:
 
 def rate_texts(docs: DataFrame, model: LinearModel, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Documents with ``probs`` and ``ai_expected_rating``; partitioned by the first key."""
-    counts = vectorise.word_counts(docs, keys, text)
-    weighted = vectorise.weigh(counts, model.vocabulary, keys)
+    terms = vectorise.word_terms(docs, keys, text)
+    weighted = vectorise.weigh(terms, model.vocabulary, keys)
     return linear.predict(docs, weighted, model.coefficients, model.intercepts, keys)
 
 
