@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlens.sources.tables import spread
+from starlens.session import spread
 
 Runner = Callable[[SparkSession, str], DataFrame]
 

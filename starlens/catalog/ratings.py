@@ -12,7 +12,7 @@ from starlens.functions import ratings as R
 from starlens.functions import text as T
 from starlens.operators import clean, distribution, standard as S
 from starlens.operators.once import compute_once
-from starlens.sources.tables import spread
+from starlens.session import spread
 
 STAR_LIST = "(VALUES (1), (2), (3), (4), (5)) AS stars5(star)"
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "starlens", master: str | None = None, **conf) -> SparkSession:
@@ -35,14 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table that comes in fewer splits than there are cores.
+
+    Text work is bound by the processor, so a handful of small files would
+    leave most cores idle.  A table of many splits is returned as it is,
+    without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, F.col(key))
+
+
+def stage(df: DataFrame, key: str | None = None) -> DataFrame:
     """Write a table that several later passes read, and go on from the written files.
 
     The files lie in the shared folder, so a lost executor costs no
     recomputation of what came before, and later passes read only the columns
-    they need.
+    they need.  With a ``key`` a small table is spread over the cores again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/starlens-stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    return stored if key is None else spread(stored, key)

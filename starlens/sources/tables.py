@@ -84,15 +84,3 @@ def add_review_id(df: DataFrame, name: str = "review_id") -> DataFrame:
     """Number rows that have no id: increasing in file order, unique, not dense."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table that comes in fewer splits than there are cores.
-
-    Text work is bound by the processor, so a handful of small files would
-    leave most cores idle.  A table of many splits is returned as it is,
-    without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, F.col(key))
