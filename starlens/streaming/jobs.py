@@ -40,7 +40,10 @@ def anomaly_rate(
     The watermark bounds the state: windows older than the lateness are closed
     and later rows for them are dropped.  The same function serves batches.
     """
-    timed = flagged.withWatermark(time, lateness) if lateness and flagged.isStreaming else flagged
+    timed = flagged
+    if lateness and flagged.isStreaming:
+        # Watermarks need a timestamp with a time zone.
+        timed = flagged.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
     counted = timed.groupBy(F.window(time, window).alias("w"), venue).agg(
         F.count(F.lit(1)).alias("reviews"), F.count_if("is_anomaly").alias("anomalies")
     )
