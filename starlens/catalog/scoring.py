@@ -95,7 +95,7 @@ def coefficients(vocab):
 
 def model(spark, folder):
     # Fitted once; the scoring passes read the stored artefact (at most MAX_WORDS rows).
-    vocab = stage(word_vocab(spark, folder))
+    vocab = stage(word_vocab(spark, folder).coalesce(1))
     return LinearModel(vocab, coefficients(vocab), INTERCEPTS)
 
 

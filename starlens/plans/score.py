@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from starlens.functions import ratings as R
 from starlens.operators import aspects, linear, vectorise
+from starlens.operators.once import compute_once
 from starlens.params import Params
+from starlens.session import stage
 
 
 @dataclass(frozen=True)
@@ -23,10 +25,14 @@ class LinearModel:
 
 
 def rate_texts(docs: DataFrame, model: LinearModel, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """Documents with ``probs`` and ``ai_expected_rating``; partitioned by the first key."""
-    terms = vectorise.word_terms(docs, keys, text)
-    weighted = vectorise.weigh(terms, model.vocabulary, keys)
-    return linear.predict(docs, weighted, model.coefficients, model.intercepts, keys)
+    """(keys, probs, ai_expected_rating) of every text, within the partitioning of ``docs``."""
+    classes = len(model.intercepts)
+    terms = vectorise.word_terms(docs, keys, text, marker=True)
+    summed = linear.unit_logits(terms, model.vocabulary, model.coefficients, keys, classes)
+    probs = linear.probabilities(model.intercepts, classes)
+    return compute_once(summed, "probs", probs).select(
+        *keys, "probs", R.expected_rating(F.col("probs")).alias("ai_expected_rating")
+    )
 
 
 def flag(scored: DataFrame, threshold: float = 2.0) -> DataFrame:
@@ -43,11 +49,13 @@ def flag(scored: DataFrame, threshold: float = 2.0) -> DataFrame:
 def score_reviews(reviews: DataFrame, model: LinearModel, params: Params = Params(), skip_aspects: bool = False) -> DataFrame:
     """Cleaned reviews (review_id, text, user_rating, ...) to scored reviews.
 
-    One shuffle: the texts are partitioned by review_id, and term counts,
-    sentence ratings, aspect means and the joins back all stay in it.
+    The texts are partitioned by review_id once; term counts, sentence
+    ratings, aspect means and the joins back all stay in that partitioning.
+    The input is written first, because whole texts, their sentences and the
+    output columns are three passes over it.
     """
-    docs = vectorise.by_document(reviews)
-    scored = rate_texts(docs, model, ("review_id",))
+    docs = vectorise.by_document(stage(reviews))
+    scored = docs.join(rate_texts(docs, model, ("review_id",)), "review_id")
     if not skip_aspects:
         sentences = aspects.aspect_sentences(docs.select("review_id", "text"))
         # A sentence of two aspects is rated once per aspect, as one row each.
