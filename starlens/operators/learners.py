@@ -84,6 +84,7 @@ def _fit_svm(train: DataFrame, calibration: DataFrame, params: Params) -> list[T
         sigmoid = LogisticRegression(
             featuresCol=f"margins_{k}", labelCol="is_class", probabilityCol=f"probability_{k}",
             rawPredictionCol=f"sigmoid_{k}", predictionCol=f"calibrated_{k}", regParam=1e-6,
+            maxIter=params.lr_max_iter,
         ).fit(margins)
         stages += [machine, column, sigmoid]
     return stages

@@ -27,13 +27,20 @@ def build_session(app: str = "starlens", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
+_TEMPORARY: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is named."""
+    """The shared folder named by the cluster; a temporary one only for a local session without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="starlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _TEMPORARY:
+        _TEMPORARY[context.applicationId] = tempfile.mkdtemp(prefix="starlens-")
+    return _TEMPORARY[context.applicationId]
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

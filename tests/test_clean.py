@@ -32,3 +32,23 @@ def test_hot_text_is_pruned_before_the_shuffle(rows):
 def test_unknown_keep(rows):
     with pytest.raises(ValueError):
         clean.drop_duplicates(rows, "some")
+
+
+def test_shared_folder(spark, rows):
+    from types import SimpleNamespace
+
+    from starlens.session import shared_dir, stage
+
+    class Unset:
+        def get(self, key, default=None):
+            return spark.conf.get("no.such.key", default)
+
+    def session(master):
+        return SimpleNamespace(conf=Unset(), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+
+    assert shared_dir(session("local[2]")) == shared_dir(session("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://somewhere"))
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: "/shared"))
+    assert shared_dir(named) == "/shared"
+    assert sorted(r["review_id"] for r in stage(rows, "review_id").collect()) == [1, 2, 3, 4, 5, 6]
