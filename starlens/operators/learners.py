@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from starlens.functions import ratings as R
 from starlens.operators import distribution
+from starlens.operators.once import compute_once
 from starlens.params import Params
 
 FAMILIES = ("logistic", "svm", "forest", "boosted")
@@ -34,16 +35,18 @@ class StarModel:
         if self.mode == "regression":
             out = scored.withColumn("ai_expected_rating", R.regression_star(F.col("raw_star")))
         else:
-            out = scored.withColumn("probs", self._probabilities()).withColumn("ai_expected_rating", self._expected())
+            out = self._with_probs(scored).withColumn("ai_expected_rating", self._expected())
         made = [c for stage in self.stages.stages for c in _outputs(stage)]
         return out.drop(*[c for c in made if c not in df.columns])
 
-    def _probabilities(self) -> Column:
+    def _with_probs(self, scored: DataFrame) -> DataFrame:
+        """The model runs once per row, however often the probabilities are used."""
         if self.family in ("logistic", "forest"):
-            return vector_to_array("probability")
+            return compute_once(scored, "probs", vector_to_array("probability"))
         # One model per class: the positive probabilities, scaled to sum to one.
         positive = [vector_to_array(f"probability_{k}")[1] for k in range(CLASSES[self.mode])]
-        return R.normalise_array(F.array(*positive))
+        listed = compute_once(scored, "_positive", F.array(*positive))
+        return compute_once(listed, "probs", R.normalise_array(F.col("_positive"))).drop("_positive")
 
     def _expected(self) -> Column:
         probs = F.col("probs")

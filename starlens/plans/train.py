@@ -30,7 +30,8 @@ class Comparison:
 
 
 def _labelled(df: DataFrame, params: Params) -> DataFrame:
-    return L.with_training_columns(df, params)
+    """Rows as the learners read them; written once, because every fit passes over them many times."""
+    return stage(L.with_training_columns(df, params).select("features", "label", "weight"), "")
 
 
 def compare_families(
@@ -129,8 +130,7 @@ def ablate_features(df: DataFrame, combinations: Mapping[str, Mapping], params:
         for fold in range(params.folds):
             train, held = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
             vectoriser = FE.fit_features(train, chosen)
-            # Learners pass over their rows many times.
-            rows = stage(_labelled(vectoriser.transform(train), chosen).select("features", "label", "weight"))
+            rows = _labelled(vectoriser.transform(train), chosen)
             model = L.fit(family, rows, rows, chosen)
             scored = M.bundle(model.predict(vectoriser.transform(held)), (), hard=True)
             parts.append(scored.select(F.lit(name).alias("combination"), F.lit(fold).alias("fold"), "mae", "accuracy", "f1_macro"))

@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _TEMPORARY[context.applicationId]
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str = "") -> DataFrame:
     """Spread a table that comes in fewer splits than there are cores.
 
     Text work is bound by the processor, so a handful of small files would
@@ -53,7 +53,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, F.col(key))
+    return df.repartition(cores, F.col(key)) if key else df.repartition(cores)
 
 
 def stage(df: DataFrame, key: str | None = None) -> DataFrame:
@@ -61,7 +61,8 @@ def stage(df: DataFrame, key: str | None = None) -> DataFrame:
 
     The files lie in the shared folder, so a lost executor costs no
     recomputation of what came before, and later passes read only the columns
-    they need.  With a ``key`` a small table is spread over the cores again.
+    they need.  With a ``key`` (empty for no
+    particular one) a small table is spread over the cores again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/starlens-stage-{uuid.uuid4().hex}"
