@@ -70,7 +70,7 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list, val
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b: long, not null).
+    """(node, component) of ``links`` (a, b: long, not null), without the nodes that name their component.
 
     A component's name is its smallest node.  In each round every node hooks
     to its smallest neighbour if that is smaller, hooks are followed to their

@@ -160,7 +160,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CENTROIDS, round
         frame = frame.sort_values(["doc_id", "text"])
         kept = [x for x in map(letters_of, frame["text"]) if x]
         if not kept:
-            return pd.DataFrame({"lang": [], "floor": [], "centroid": []})
+            return pd.DataFrame({"lang": [], "floor": [], "centroid": []}, dtype=object)
         centres, near = cluster(np.stack([vector_of(x, idf) for x in kept]).astype(np.float32), k, rounds)
         return pd.DataFrame({
             "lang": frame["lang"].iloc[0],
