@@ -74,17 +74,17 @@ def quote(text: str) -> str:
 # Review endings, chosen by doc_id % 12.
 ENDINGS = (
     "",
-    "อร่อยมากกกกก 😋😋 ราคา 350 บาท!!!",
-    "ไม่อร่อยเลย แย่มาก 1/10 NOT recommended!!!",
-    "https://example.com/a?b=1 www.example.org ดี",
-    "บริการแย่ รอนานมาก 😡👎",
-    "อาหารคาว เนื้อเหนียว จืดชืด ห่วย",
-    "ไม่แนะนำ ไม่ค่อย อร่อย ไม่เคย ผิดหวัง",
-    "บรรยากาศดี แอร์เย็น ที่จอดรถกว้าง",
-    "ราคา ๑๒๓ บาท 🚀✨",
+    "ขนมหวานนนนน 🥰🥰 จานละ 45 บาท!!!",
+    "ไม่น่ากลับไปอีก ให้ 2/9 NEVER again!!!",
+    "https://menu.invalid/p?id=7 www.menu.invalid แผนที่",
+    "เด็กเสิร์ฟหายไปนาน 😡👎",
+    "ปลาคาว หมูเหนียว แกงจืดชืด น้ำห่วย",
+    "ไม่แนะนำ ไม่ค่อย ประทับใจ ไม่เคย ลืม",
+    "เพลงเพราะ แอร์เย็น โต๊ะกว้าง",
+    "รวม ๗๘๙ บาท 🚀✨",
     "ดีงาม ฟิน นัว ต้องลอง ❤️⭐",
-    "so sooo goooood??!!",
-    "พนักงาน   บริการ\tช้า",
+    "yum yummm tasteeee??!!",
+    "เจ้าของ   ต้อนรับ\tช้า",
 )
 
 # Three stand-in models, expectation = 1 + (id a + chars b) mod 401 / 100.

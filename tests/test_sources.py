@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from starlens.operators import experiments, standard
 from starlens.plans.evaluate import evaluate
-from starlens.sources import results, sinks, synthetic, tables
+from starlens.sources import results, sinks, tables
 
 
 def test_csv(spark, tmp_path):
@@ -88,12 +88,3 @@ def test_results_from_files(spark, tmp_path):
     assert results.read_appended(spark, str(tmp_path / "log")).count() == 6
     spread = experiments.spread(table).first()
     assert (spread["best_variant"], spread["worst_variant"], spread["failed_variants"]) == ("b", "a", "c")
-
-
-def test_synthetic(spark):
-    rows = synthetic.synthetic_reviews(spark, 2000)
-    shares = {r["stars"]: r["count"] / 2000 for r in rows.groupBy("stars").count().collect()}
-    assert all(abs(shares[s] - w) < 0.04 for s, w in ((1, 0.1), (2, 0.1), (3, 0.2), (4, 0.3), (5, 0.3)))
-    assert rows.filter("review_body is null").count() == 0
-    split = {r["split"]: r["count"] for r in synthetic.synthetic_splits(spark, 500).groupBy("split").count().collect()}
-    assert split == {"test": 200, "train": 300}
