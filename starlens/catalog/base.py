@@ -129,7 +129,7 @@ part(
 def chats(spark: SparkSession, folder: str) -> DataFrame:
     """A second review source: (review_id, review_body, stars)."""
     return table(spark, folder, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("review_id"),
+        F.concat_ws(":", F.lit("chat"), "conv_id", "turn").alias("review_id"),
         F.col("text").alias("review_body"),
         (F.lit(1) + (F.col("conv_id") * 3 + F.col("turn")) % 5).cast("int").alias("stars"),
     )
@@ -138,7 +138,7 @@ def chats(spark: SparkSession, folder: str) -> DataFrame:
 part(
     "chats",
     """
-    SELECT conv_id * 1000 + turn AS review_id, text AS review_body,
+    SELECT 'chat:' || conv_id || ':' || turn AS review_id, text AS review_body,
            CAST(1 + (conv_id * 3 + turn) % 5 AS INTEGER) AS stars FROM conversations
     """,
 )

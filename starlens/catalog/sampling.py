@@ -15,6 +15,9 @@ from starlens.plans.training_set import prepare_training_set
 from starlens.session import stage
 
 
+DEFAULTS = Params()
+
+
 def ids(spark, folder):
     return reviews(spark, folder).select("review_id", F.col("stars").alias("user_rating"))
 
@@ -91,11 +94,12 @@ def u04(spark, folder):
 
 @query(
     "u01_u02_union",
-    """SELECT review_id, review_body, stars, place_name FROM reviews
+    """SELECT CAST(review_id AS VARCHAR) AS review_id, review_body, stars, place_name FROM reviews
        UNION ALL SELECT review_id, review_body, stars, NULL FROM chats""",
 )
 def u01(spark, folder):
-    return resample.union_sources(reviews(spark, folder).drop("n_chars"), chats(spark, folder))
+    first = reviews(spark, folder).drop("n_chars").withColumn("review_id", F.col("review_id").cast("string"))
+    return resample.union_sources(first, chats(spark, folder))
 
 
 def mock(spark, folder):
@@ -116,16 +120,16 @@ part(
 )
 part(
     "mixed",
-    """SELECT review_id, text, user_rating FROM clean UNION ALL
+    f"""SELECT review_id, text, user_rating FROM clean UNION ALL
        SELECT review_id, text, user_rating FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || review_id)) AS rn FROM mock)
-       WHERE rn <= greatest(1, CAST(floor(0.02e0 * (SELECT count(*) FROM clean)) AS BIGINT))""",
+       WHERE rn <= greatest(1, CAST(floor({DEFAULTS.mock_fraction}e0 * (SELECT count(*) FROM clean)) AS BIGINT))""",
 )
 
 
 @query("u03_mix_mock", "SELECT * FROM mixed")
 def u03(spark, folder):
     base = stage(cleaned(spark, folder).select("review_id", "text", "user_rating"))
-    return resample.mix_mock(base, mock(spark, folder), 0.02)
+    return resample.mix_mock(base, mock(spark, folder), DEFAULTS.mock_fraction)
 
 
 @query(
@@ -133,12 +137,12 @@ def u03(spark, folder):
     """SELECT review_id, stars FROM (
          SELECT *, row_number() OVER (PARTITION BY stars ORDER BY md5('42:' || review_id)) AS rn, count(*) OVER (PARTITION BY stars) AS n,
                 count(*) OVER () AS everything
-         FROM (SELECT review_id, stars FROM reviews UNION ALL SELECT review_id + 1000000000, stars FROM chats))
+         FROM (SELECT CAST(review_id AS VARCHAR) AS review_id, stars FROM reviews UNION ALL SELECT review_id, stars FROM chats))
        WHERE rn <= round_even(700e0 / everything * n, 0)""",
 )
 def q12(spark, folder):
-    second = chats(spark, folder).withColumn("review_id", F.col("review_id") + 1000000000)
-    merged = resample.union_sources(reviews(spark, folder).select("review_id", "stars"), second.select("review_id", "stars"))
+    first = reviews(spark, folder).select(F.col("review_id").cast("string").alias("review_id"), "stars")
+    merged = resample.union_sources(first, chats(spark, folder).select("review_id", "stars"))
     return resample.stratified_reduce(merged, 700, star="stars")
 
 
@@ -180,7 +184,7 @@ part(
 
 def hash_int(seed: str, *parts: str) -> str:
     joined = " || ':' || ".join([quote(seed), *parts])
-    return f"CAST('0x' || substr(md5({joined}), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5({joined}), 1, 15) AS BIGINT)"
 
 
 def augmented_parts(prefix: str, source: str, seed: int = 42) -> None:
@@ -199,7 +203,7 @@ def augmented_parts(prefix: str, source: str, seed: int = 42) -> None:
         f"{prefix}_swapped",
         f"""SELECT review_id, copy, t.pos,
                    CASE WHEN technique IN (0, 2) AND many >= 2 AND length(t.token) > 1 AND len(choices) > 0
-                         AND {hash_int(f'{seed}:swap', *place)} % 1000 < 300
+                         AND {hash_int(f'{seed}:swap', *place)} / 1152921504606846976e0 < {DEFAULTS.synonym_prob}e0
                         THEN choices[{hash_int(f'{seed}:pick', *place)} % len(choices) + 1] ELSE t.token END AS token,
                    CASE WHEN technique IN (1, 2) AND many >= 3 THEN md5('{seed}:order:' || review_id || ':' || copy || ':' || pos) ELSE '' END AS ord
             FROM {prefix}_tokens t LEFT JOIN synonyms s ON s.token = t.token""",
@@ -222,14 +226,14 @@ def robin_part(name: str, source: str, target: int) -> None:
     )
 
 
-robin_part("robin_copies", "clean", 300)
+robin_part("robin_copies", "clean", DEFAULTS.augment_target)
 augmented_parts("aug", "robin_copies")
 
 
 @query("j06_round_robin", "SELECT review_id, copy, user_rating FROM robin_copies")
 def j06(spark, folder):
     base = cleaned(spark, folder).select("review_id", "text", "user_rating")
-    return augment.round_robin_copies(base, target=300).select("review_id", "copy", "user_rating")
+    return augment.round_robin_copies(base, target=DEFAULTS.augment_target).select("review_id", "copy", "user_rating")
 
 
 @query(
@@ -238,7 +242,7 @@ def j06(spark, folder):
 )
 def q03(spark, folder):
     base = cleaned(spark, folder).select("review_id", "text", "user_rating")
-    return augment.augment_minority(base, synonyms(spark), target=300)
+    return augment.augment_minority(base, synonyms(spark), target=DEFAULTS.augment_target)
 
 
 part("every_text", "SELECT review_id, 0 AS copy, text, user_rating FROM standard")
@@ -281,12 +285,12 @@ part(
 )
 part(
     "over",
-    "SELECT review_id, text, user_rating, CAST(unnest(range(0, CASE WHEN user_rating <= 2 THEN 2 ELSE 1 END)) AS INTEGER) AS copy FROM under",
+    f"SELECT review_id, text, user_rating, CAST(unnest(range(0, CASE WHEN user_rating <= 2 THEN {DEFAULTS.oversample_factor} ELSE 1 END)) AS INTEGER) AS copy FROM under",
 )
 part("over_keys", "SELECT review_id * 10 + copy AS review_id, text, user_rating FROM over")
 
 
-robin_part("train_copies", "over_keys", 450)
+robin_part("train_copies", "over_keys", DEFAULTS.augment_target)
 augmented_parts("train", "train_copies")
 
 
@@ -295,9 +299,8 @@ augmented_parts("train", "train_copies")
     "SELECT review_id, copy, substring(text, 1, 500) AS text, user_rating FROM (SELECT review_id, 0 AS copy, text, user_rating FROM over_keys UNION ALL SELECT * FROM train_new)",
 )
 def q02(spark, folder):
-    params = Params(mock_fraction=0.02, oversample_factor=2, augment_target=450)
     base = cleaned(spark, folder).select("review_id", "text", "user_rating")
-    return prepare_training_set(base, mock(spark, folder), synonyms(spark), params)
+    return prepare_training_set(base, mock(spark, folder), synonyms(spark), DEFAULTS)
 
 
 # --- pairs --------------------------------------------------------------------

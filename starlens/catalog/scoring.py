@@ -10,11 +10,13 @@ from starlens.catalog.base import part, query, quote, rated, reviews, table
 from starlens.catalog.text import cleaned, standard
 from starlens.functions.hashing import hash_int
 from starlens.operators import aspects, cache, linear, ranking, vectorise, venues
+from starlens.params import Params
 from starlens.plans.score import LinearModel, flag, score_reviews
 from starlens.plans.venue_cache import venue_cache, venue_reviews
 from starlens.session import stage
 
-MAX_WORDS, MAX_GRAMS = 2000, 1000
+DEFAULTS = Params()
+MAX_WORDS, MAX_GRAMS = DEFAULTS.word_max_features, DEFAULTS.char_max_features
 INTERCEPTS = (-0.2, -0.1, 0.0, 0.1, 0.2)
 
 
@@ -103,7 +105,7 @@ part(
     "coefs",
     "SELECT term, "
     + ", ".join(
-        f"(CAST('0x' || substr(md5('coef{k}:' || term), 1, 8) AS BIGINT) % 401 - 200) / 100e0 AS k{k}" for k in lexicon.STARS
+        f"(CAST('0x' || substr(md5('coef{k}:' || term), 1, 15) AS BIGINT) % 401 - 200) / 100e0 AS k{k}" for k in lexicon.STARS
     )
     + " FROM word_vocab",
 )

@@ -12,5 +12,10 @@ def hash_key(seed, *parts: Column) -> Column:
 
 
 def hash_int(seed, *parts: Column) -> Column:
-    """A whole number in 0 .. 2^32 - 1."""
-    return F.conv(F.substring(hash_key(seed, *parts), 1, 8), 16, 10).cast("long")
+    """A whole number in 0 .. 2^60 - 1."""
+    return F.conv(F.substring(hash_key(seed, *parts), 1, 15), 16, 10).cast("long")
+
+
+def hash_share(seed, *parts: Column) -> Column:
+    """A number from 0 up to 1, to be compared with a probability."""
+    return hash_int(seed, *parts) / F.lit(float(2**60))

@@ -21,12 +21,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def id_bucket(df: DataFrame, key: str, buckets: int = 65536) -> Column:
-    """Equal-width bucket of a unique whole-number key (its range is read from the data)."""
-    low = df.agg(F.min(key)).scalar()
-    width = df.agg(F.max(key) - F.min(key) + 1).scalar()
-    spot = F.floor((F.col(key) - low).cast("double") / width * buckets)
-    return F.least(F.lit(buckets - 1), spot).cast("int")
+def id_bucket(df: DataFrame, key: str, side: int = 64) -> Column:
+    """Bucket of a whole-number key between ``side`` squared quantiles, so no bucket grows with clustered keys.
+
+    The quantiles are read from the data first; they are looked up in two
+    steps of at most ``side`` comparisons.
+    """
+
+    def listed(numbers) -> Column:
+        # One literal after constant folding.
+        return F.filter(F.split(F.lit(",".join(map(str, numbers))), ","), lambda x: x != "").cast("array<long>")
+
+    steps = [i / side**2 for i in range(1, side**2)]
+    shares = F.split(F.lit(",".join(map(str, steps))), ",").cast("array<double>")
+    cuts = df.agg(F.percentile_approx(F.col(key).cast("long"), shares, 20 * side**2)).first()[0] or []
+    spot = F.col(key)
+    block = F.size(F.filter(listed(cuts[side - 1 :: side]), lambda c: c <= spot))
+    inside = F.slice(listed(cuts), block * side + 1, F.lit(side))
+    return (block * side + F.size(F.filter(inside, lambda c: c <= spot))).cast("int")
 
 
 def _marked(df: DataFrame, key: Column, stratum: Column | None, bucket: Column) -> list[Column]:

@@ -145,7 +145,7 @@ def first_rows_split(df: DataFrame, share: float = 0.2, floor: int = 200, id_col
         df,
         F.col(id_col),
         lambda total: [F.greatest(F.lit(floor).cast("long"), F.floor(total * F.lit(share)))],
-        bucket=ranking.id_bucket(df, id_col, 4096),
+        bucket=ranking.id_bucket(df, id_col),
         name="_segment",
     )
     return marked.withColumn("split", F.when(F.col("_segment") == 0, "test").otherwise("train")).drop("_segment")

@@ -155,7 +155,7 @@ def encoder_grid(
             spark = table.sparkSession
             parts = split_features(table, params)
         except Exception as error:  # an encoder that fails is a result, too
-            rows.append((encoder, None, "error", None, None, str(error)[:200]))
+            rows.append((encoder, None, "error", None, None, str(error)))
             continue
         for family in families:
             try:
@@ -163,7 +163,7 @@ def encoder_grid(
                 found = M.bundle(model.predict(parts["holdout"]), (), hard=True).first()
                 rows.append((encoder, family, "ok", found["mae"], found["accuracy"], None))
             except Exception as error:
-                rows.append((encoder, family, "error", None, None, str(error)[:200]))
+                rows.append((encoder, family, "error", None, None, str(error)))
     if spark is None:
         raise ValueError("no encoder could be run")
     schema = "encoder string, family string, status string, mae double, accuracy double, error string"
@@ -198,7 +198,7 @@ def sweep(
             first = evaluate(params.override(**variant.get("config", {}))).first()
             found = {n: first[n] for n in names}
         except Exception as error:
-            status, problem = "error", str(error)[:500]
+            status, problem = "error", str(error)
         seconds = time.monotonic() - begin
         settings = {k: str(v) for k, v in variant.get("config", {}).items()}
         rows.append((run_id, model, variant["name"], variant.get("hypothesis", ""), settings, *found.values(), seconds, status, problem))

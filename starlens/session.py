@@ -44,15 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame, key: str = "") -> DataFrame:
-    """Spread a table that comes in fewer splits than there are cores.
+    """Spread a table that comes in a single split, which the reader's split size bounds.
 
-    Text work is bound by the processor, so a handful of small files would
-    leave most cores idle.  A table of many splits is returned as it is,
-    without a shuffle.
+    Text work is bound by the processor, so one small file would leave all
+    cores but one idle.  A table of several splits is returned as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() > 1:
         return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, F.col(key)) if key else df.repartition(cores)
 
 

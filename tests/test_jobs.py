@@ -135,7 +135,7 @@ def test_profile(spark):
 
 def test_fingerprint_depends_on_order_and_text(spark):
     def of(pairs):
-        return cache.corpus_fingerprint(spark.createDataFrame(pairs, "review_id long, text string"), fanout=4, levels=3).first()[0]
+        return cache.corpus_fingerprint(spark.createDataFrame(pairs, "review_id long, text string"), fanout=4, least_levels=3).first()[0]
 
     base = of([(i, f"t{i}") for i in range(40)])
     assert base == of([(i, f"t{i}") for i in reversed(range(40))])
