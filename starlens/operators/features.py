@@ -5,12 +5,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import (
+    CountVectorizerModel,
+    ElementwiseProduct,
+    HashingTF,
+    Normalizer,
+    PCAModel,
+    VectorAssembler,
+    Word2Vec,
+)
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseMatrix, Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +27,7 @@ from starlens.functions import text as T
 from starlens.operators import ranking, vectorise
 from starlens.operators.once import compute_once
 from starlens.params import Params
+from starlens.session import stage
 
 
 @dataclass(frozen=True)
@@ -29,7 +39,8 @@ class FeatureModel:
 
     def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
         return self.stages.transform(analyse(df, self.params, text)).drop(
-            "word_grams", "char_grams", "extra", "word_tf", "char_tf", "word_idf", "char_idf", "word_vec", "char_vec"
+            "word_grams", "char_grams", "extra", "word_tf", "char_tf", "word_idf", "char_idf", "word_vec", "char_vec",
+            "terms", "reduced",
         )
 
 
@@ -72,40 +83,73 @@ def fit_features(train: DataFrame, params: Params = Params(), text: str = "text"
         grams = vectorise.char_terms(docs, text=text, ngrams=params.char_ngrams)
         stages += _tfidf_stages(vectorise.fit_vocabulary(grams, documents, params.char_max_features, **limits), "char")
         parts.append("char_vec")
+    if params.use_lsa:
+        # The terms alone are reduced; raw character counts would drown them.
+        stages.append(VectorAssembler(inputCols=parts, outputCol="terms"))
+        terms = PipelineModel(stages).transform(analyse(train, params, text)).select(F.col("terms").alias("features"))
+        reduction = fit_reduction(stage(terms), params.lsa_components)
+        stages.append(reduction.model.setInputCol("terms").setOutputCol("reduced"))
+        parts = ["reduced"]
     if params.use_extra_features:
         parts.append("extra")
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
     return FeatureModel(PipelineModel(stages), params)
 
 
+def encode_offline(df: DataFrame, kind: str, size: int = 256, text: str = "text", seed: int = 42) -> DataFrame:
+    """Add ``features``: unit-length text vectors from an encoder that needs no download.
+
+    ``hashing`` counts hashed words; ``word2vec`` averages word vectors that it
+    learns from the given texts.
+    """
+    words = compute_once(df, "_words", T.tokens(T.extended(F.col(text))))
+    if kind == "hashing":
+        made = HashingTF(numFeatures=size, inputCol="_words", outputCol="_raw").transform(words)
+    elif kind == "word2vec":
+        learner = Word2Vec(vectorSize=size, minCount=2, seed=seed, inputCol="_words", outputCol="_raw")
+        made = learner.fit(words).transform(words)
+    else:
+        raise ValueError(f"unknown encoder: {kind}")
+    return Normalizer(p=2.0, inputCol="_raw", outputCol="features").transform(made).drop("_words", "_raw")
+
+
 def embedding_features(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(column)))
 
 
 @dataclass(frozen=True)
 class Reduction:
-    """Right singular vectors (features x components) and the explained variance share."""
+    """The projection on the right singular vectors as a transformer, and the explained variance share."""
 
-    components: object
+    model: PCAModel
     explained: float
 
 
-def _matrix(df: DataFrame, id_col: str) -> IndexedRowMatrix:
-    rows = df.select(id_col, "features").rdd.map(lambda r: IndexedRow(r[0], OldVectors.fromML(r[1])))
-    return IndexedRowMatrix(rows)
+def reduce_features(df: DataFrame, reduction: Reduction) -> DataFrame:
+    """Replace ``features`` by their projection on the components."""
+    projection = reduction.model.setInputCol("features").setOutputCol("_reduced")
+    return projection.transform(df).drop("features").withColumnRenamed("_reduced", "features")
 
 
-def reduce_features(df: DataFrame, reduction: Reduction, id_col: str = "review_id") -> DataFrame:
-    """Replace ``features`` by their projection on the components."""
-    projected = _matrix(df, id_col).multiply(reduction.components).rows.map(lambda r: (r.index, r.vector.asML()))
-    return df.drop("features").join(projected.toDF([id_col, "features"]), id_col)
-
-
-def fit_reduction(df: DataFrame, components: int = 400, id_col: str = "review_id") -> Reduction:
-    """Truncated singular value decomposition without centring."""
-    svd = _matrix(df, id_col).computeSVD(components)
-    bare = Reduction(svd.V, 0.0)
-    before = df.agg(Summarizer.variance(F.col("features")).alias("v")).first()["v"].toArray().sum()
-    reduced = reduce_features(df.select(id_col, "features"), bare, id_col)
-    after = reduced.agg(Summarizer.variance(F.col("features")).alias("v")).first()["v"].toArray().sum()
-    return Reduction(svd.V, float(after / before) if before else 0.0)
+def fit_reduction(df: DataFrame, components: int = 400) -> Reduction:
+    """Truncated singular value decomposition of ``features`` without centring; at most as many components as features."""
+    spark = df.sparkSession
+    width = df.select(vector_size("features").alias("n")).first()["n"]
+    svd = RowMatrix(MLUtils.convertVectorColumnsFromML(df.select("features"), "features")).computeSVD(min(components, width))
+    matrix = DenseMatrix(svd.V.numRows, svd.V.numCols, svd.V.values, bool(svd.V.isTransposed))
+    # A projection without centring is what the principal component transformer applies.
+    java = spark._jvm.org.apache.spark.ml.feature.PCAModel(
+        f"lsa_{svd.V.numRows}_{svd.V.numCols}", _py2java(spark.sparkContext, matrix), _py2java(spark.sparkContext, Vectors.dense(svd.s.toArray()))
+    )
+    java.set(java.k(), matrix.numCols)
+    bare = Reduction(PCAModel(java), 0.0)
+
+    def variance(rows: DataFrame) -> float:
+        return float(rows.agg(Summarizer.variance(F.col("features")).alias("v")).first()["v"].toArray().sum())
+
+    before = variance(df)
+    return Reduction(bare.model, variance(reduce_features(df.select("features"), bare)) / before if before else 0.0)
+
+
+def vector_size(column: str):
+    return F.size(vector_to_array(F.col(column)))

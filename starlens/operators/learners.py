@@ -66,6 +66,11 @@ def with_training_columns(df: DataFrame, params: Params, star: str = "user_ratin
     if not params.use_class_weight or params.mode == "regression":
         return labelled.withColumn("weight", F.lit(1.0)).withColumnRenamed("target", "label")
     weights = distribution.class_weights(df, star, CLASSES[params.mode], params.low_star_boost)
+    if params.compat:
+        plain = distribution.class_weights(df, star, CLASSES[params.mode], 1.0)
+        weights = weights.join(plain.withColumnRenamed("class_weight", "_plain"), "label").select(
+            "label", (F.col("class_weight") * F.col("_plain")).alias("class_weight")
+        )
     weighted = distribution.sample_weights(labelled, weights, F.col("target"))
     return weighted.drop("label").withColumnsRenamed({"target": "label", "class_weight": "weight"})
 

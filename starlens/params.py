@@ -49,6 +49,7 @@ class Params:
 
     use_class_weight: bool = True
     low_star_boost: float = 3.0
+    compat: bool = False  # weigh classes twice: balanced weights times the boosted ones
     mode: str = "five_class"  # five_class | three_class | regression
     strategy: str = "extended"
     default_model_strategy: str = "keep_digits"

@@ -73,15 +73,17 @@ def split_features(df: DataFrame, params: Params = Params()) -> dict[str, DataFr
 
 
 def train_on_texts(
-    df: DataFrame, params: Params = Params(), families: Sequence[str] = L.FAMILIES
+    df: DataFrame,
+    params: Params = Params(),
+    families: Sequence[str] = L.FAMILIES,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[FE.FeatureModel, Comparison]:
-    """Reviews (review_id, text, user_rating): split, vectorise on train only, compare on holdout."""
+    """Reviews (review_id, text, user_rating): split, ``prepare`` and vectorise on train only, compare on holdout."""
     parts = split_features(df.select("review_id", "text", "user_rating"), params)
+    if prepare is not None:
+        parts["train"] = stage(prepare(parts["train"]).select("review_id", "text", "user_rating"))
     vectoriser = FE.fit_features(parts["train"], params)
     ready = {n: stage(vectoriser.transform(p).select("review_id", "user_rating", "features")) for n, p in parts.items()}
-    if params.use_lsa:
-        reduction = FE.fit_reduction(ready["train"], params.lsa_components)
-        ready = {n: stage(FE.reduce_features(p, reduction)) for n, p in ready.items()}
     return vectoriser, compare_families(ready["train"], ready["validation"], params, families, ready["holdout"])
 
 
@@ -130,8 +132,12 @@ def ablate_features(df: DataFrame, combinations: Mapping[str, Mapping], params:
         for fold in range(params.folds):
             train, held = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
             vectoriser = FE.fit_features(train, chosen)
-            rows = _labelled(vectoriser.transform(train), chosen)
-            model = L.fit(family, rows, rows, chosen)
+            ready = stage(vectoriser.transform(train).select("review_id", "user_rating", "features"))
+            # Calibration rows: a slice of the training folds that the fit does not see.
+            split = resample.holdout_split(ready, 0.2, params.seed + 1)
+            rows = _labelled(split.filter("split <> 'holdout'").drop("split"), chosen)
+            calibration = _labelled(split.filter("split = 'holdout'").drop("split"), chosen)
+            model = L.fit(family, rows, calibration, chosen)
             scored = M.bundle(model.predict(vectoriser.transform(held)), (), hard=True)
             parts.append(scored.select(F.lit(name).alias("combination"), F.lit(fold).alias("fold"), "mae", "accuracy", "f1_macro"))
     from starlens.operators.experiments import fold_summary
@@ -157,9 +163,10 @@ def encoder_grid(
         except Exception as error:  # an encoder that fails is a result, too
             rows.append((encoder, None, "error", None, None, str(error)))
             continue
+        labelled = {n: _labelled(parts[n], params) for n in ("train", "validation")}
         for family in families:
             try:
-                model = L.fit(family, _labelled(parts["train"], params), _labelled(parts["validation"], params), params)
+                model = L.fit(family, labelled["train"], labelled["validation"], params)
                 found = M.bundle(model.predict(parts["holdout"]), (), hard=True).first()
                 rows.append((encoder, family, "ok", found["mae"], found["accuracy"], None))
             except Exception as error:

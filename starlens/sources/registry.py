@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import asdict
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,10 @@ from starlens.operators.features import FeatureModel
 from starlens.operators.learners import StarModel
 from starlens.params import Params
 
-META = "model string, family string, mode string, preprocess_strategy string, validation_mae double, path string"
+META = (
+    "model string, family string, mode string, preprocess_strategy string, validation_mae double, path string, "
+    "params string, has_features boolean"
+)
 
 
 def save_model(spark: SparkSession, name: str, root: str, vectoriser: FeatureModel | None, model: StarModel, strategy: str, mae: float) -> None:
@@ -21,7 +26,8 @@ def save_model(spark: SparkSession, name: str, root: str, vectoriser: FeatureMod
     if vectoriser is not None:
         vectoriser.stages.write().overwrite().save(f"{path}/features")
     model.stages.write().overwrite().save(f"{path}/model")
-    row = [(name, model.family, model.mode, strategy, float(mae), path)]
+    params = json.dumps(asdict(vectoriser.params)) if vectoriser is not None else None
+    row = [(name, model.family, model.mode, strategy, float(mae), path, params, vectoriser is not None)]
     spark.createDataFrame(row, META).write.mode("overwrite").parquet(f"{path}/meta")
 
 
@@ -29,11 +35,14 @@ def load_meta(spark: SparkSession, name: str, root: str) -> DataFrame:
     return spark.read.schema(META).parquet(f"{root}/{name}/meta")
 
 
-def load_model(spark: SparkSession, name: str, root: str, params: Params = Params()) -> tuple[FeatureModel | None, StarModel]:
+def load_model(spark: SparkSession, name: str, root: str) -> tuple[FeatureModel | None, StarModel]:
+    """Both parts, the vectoriser with the parameters it was fitted with."""
     meta = load_meta(spark, name, root).first()
     path = f"{root}/{name}"
-    stages = PipelineModel.load(f"{path}/features") if exists(spark, f"{path}/features") else None
-    vectoriser = None if stages is None else FeatureModel(stages, params)
+    vectoriser = None
+    if meta["has_features"]:
+        stored = {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(meta["params"]).items()}
+        vectoriser = FeatureModel(PipelineModel.load(f"{path}/features"), Params(**stored))
     return vectoriser, StarModel(meta["family"], meta["mode"], PipelineModel.load(f"{path}/model"))
 
 
@@ -43,9 +52,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def readiness(spark: SparkSession, names: Sequence[str], root: str) -> DataFrame:
-    """(model, ready) for every known model."""
-    rows = [(n, exists(spark, f"{root}/{n}/meta")) for n in names]
-    return spark.createDataFrame(rows, "model string, ready boolean")
+    """(model, ready) for every known model; one is ready when all parts that its meta table names are there."""
+
+    def ready(name: str) -> bool:
+        path = f"{root}/{name}"
+        if not exists(spark, f"{path}/meta"):
+            return False
+        parts = ["model"] + ["features"] * load_meta(spark, name, root).first()["has_features"]
+        return all(exists(spark, f"{path}/{p}/metadata/_SUCCESS") for p in parts)
+
+    return spark.createDataFrame([(n, ready(n)) for n in names], "model string, ready boolean")
 
 
 def resolve_models(registry: DataFrame, requested: Sequence[str] | None) -> tuple[DataFrame, DataFrame]:

@@ -85,6 +85,38 @@ def test_text_features_agree_with_the_relational_ones(spark):
             assert v == pytest.approx(want.get((r["review_id"], i), 0.0))
 
 
+def test_reduced_features_are_stored_with_their_parameters(spark, tmp_path):
+    texts = ["good food here", "bad food here", "good place", "bad place then", "food food good", "then here"] * 3
+    rows = spark.createDataFrame([(i, t, i % 5 + 1) for i, t in enumerate(texts)], "review_id long, text string, user_rating int")
+    params = FAST.override(word_ngrams=(1, 1), use_lsa=True, use_extra_features=True, lsa_components=2, low_star_boost=2.0)
+    made = FE.fit_features(rows, params)
+    ready = made.transform(rows)
+    first = ready.first()["features"]
+    assert len(first) == 2 + 3 and set(ready.columns) == {*rows.columns, "features"}
+    assert first[2] == len("good food here")  # extras stand behind the reduced terms, as they are
+    labelled = L.with_training_columns(ready, params)
+    registry.save_model(spark, "baseline", str(tmp_path), made, L.fit("logistic", labelled, labelled, params), "extended", 0.1)
+    again, _ = registry.load_model(spark, "baseline", str(tmp_path))
+    assert again.params == params
+    a = {r["review_id"]: list(r["features"]) for r in ready.collect()}
+    assert a == {r["review_id"]: list(r["features"]) for r in again.transform(rows).collect()}
+    ready_now = registry.readiness(spark, ["baseline", "other"], str(tmp_path))
+    assert {r["model"]: r["ready"] for r in ready_now.collect()} == {"baseline": True, "other": False}
+
+
+def test_classes_weighed_twice(points):
+    once = {r["label"]: r["weight"] for r in L.with_training_columns(points.limit(37), FAST).collect()}
+    both = {r["label"]: r["weight"] for r in L.with_training_columns(points.limit(37), FAST.override(compat=True)).collect()}
+    assert both == pytest.approx({k: v * v for k, v in once.items()})
+
+
+def test_offline_encoders(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["good food", "bad food", ""] * 4)], "review_id long, text string")
+    for kind in ("hashing", "word2vec"):
+        for r in FE.encode_offline(rows, kind, 8).collect():
+            assert len(r["features"]) == 8 and (r["features"].norm(2) == pytest.approx(1) or r["features"].norm(2) == 0)
+
+
 def test_reduction(points):
     reduction = FE.fit_reduction(points, 1)
     assert 0.5 < reduction.explained <= 1.0
