@@ -98,11 +98,16 @@ def _class_scores(wide: DataFrame) -> DataFrame:
 
 def bundle(df: DataFrame, by: Sequence[str] = ("model",), **options) -> DataFrame:
     """The extended metrics, one row per model."""
+    return bundle_of(counts(df, by, **options), by)
+
+
+def bundle_of(wide: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """The extended metrics from ``counts``."""
     n = F.col("n_samples")
     hits = _total([_cell(s, s) for s in STARS])
     near = _total([_cell(t, p) for t in STARS for p in STARS if abs(t - p) <= 1])
     present = _total([F.when(F.col(f"p{s}") + F.col(f"t{s}") > 0, 1).otherwise(0) for s in STARS])
-    return _class_scores(counts(df, by, **options)).select(
+    return _class_scores(wide).select(
         *by,
         "n_samples",
         (F.col("abs_sum") / n).alias("mae"),
@@ -124,12 +129,16 @@ def bundle(df: DataFrame, by: Sequence[str] = ("model",), **options) -> DataFram
 
 def confusion_matrix(df: DataFrame, by: Sequence[str] = ("model",), scaled: bool = False, **options) -> DataFrame:
     """25 rows per model; ``scaled`` adds the share of the largest cell and the diagonal mark."""
+    return confusion_of(counts(df, by, **options), by, scaled)
+
+
+def confusion_of(wide: DataFrame, by: Sequence[str] = ("model",), scaled: bool = False) -> DataFrame:
+    """The confusion matrix from ``counts``."""
     cells = [
         F.struct(F.lit(t).alias("true_star"), F.lit(p).alias("pred_star"), _cell(t, p).alias("reviews"))
         for t in STARS
         for p in STARS
     ]
-    wide = counts(df, by, **options)
     top = F.greatest(F.lit(1), *[_cell(t, p) for t in STARS for p in STARS]).alias("top")
     out = wide.select(*by, top, F.explode(F.array(*cells)).alias("cell")).select(*by, "top", "cell.*")
     if scaled:
@@ -168,13 +177,23 @@ def f1_by_star(df: DataFrame, models: Sequence[str]) -> DataFrame:
     return report.groupBy(F.col("label").alias("star")).agg(*values)
 
 
-def with_majority(df: DataFrame, star: int = 4, name: str = "majority") -> DataFrame:
-    """Add a constant-star reference model, built from one model's rows."""
-    first = df.agg(F.min("model")).scalar()
-    constant = df.filter(F.col("model") == first).withColumns(
-        {"model": F.lit(name), "ai_expected_rating": F.lit(float(star))}
+def constant_counts(wide: DataFrame, star: int = 4, threshold: float = 2.0, min_delta: int = 2) -> DataFrame:
+    """``counts`` of predicting one star for every row, from the counts of any model on these rows."""
+    def over(value) -> Column:
+        return _total([F.col(f"t{t}") * F.lit(value(abs(t - star))) for t in STARS])
+
+    cells = {f"c{t}{p}": F.col(f"t{t}") if p == star else F.lit(0).cast("long") for t in STARS for p in STARS}
+    cells |= {f"p{s}": F.col("n_samples") if s == star else F.lit(0).cast("long") for s in STARS}
+    return wide.withColumns(
+        {
+            "abs_sum": over(float),
+            "square_sum": over(lambda d: float(d * d)),
+            "flags": over(lambda d: int(d >= threshold)),
+            "severes": over(lambda d: int(d >= min_delta)),
+            "both": over(lambda d: int(d >= threshold and d >= min_delta)),
+            **cells,
+        }
     )
-    return df.unionByName(constant)
 
 
 def majority_metrics(df: DataFrame, star: int = 4) -> DataFrame:

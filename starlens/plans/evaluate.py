@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from starlens.operators import metrics as M
 from starlens.params import Params
+from starlens.session import stage
 from starlens.sources import results
 
 
@@ -27,11 +28,13 @@ def evaluate(predictions: DataFrame, params: Params = Params()) -> Evaluation:
     The reference takes part in the report, not in the choice of the champion.
     """
     options = {"threshold": params.anomaly_threshold, "min_delta": params.severe_delta}
-    everything = M.with_majority(predictions, params.majority_star)
-    metrics = M.bundle(everything, ("model",), **options)
-    order = predictions.groupBy("model").agg(F.min("model_order").alias("model_order"))
-    contenders = metrics.join(F.broadcast(order), "model")  # one row per model
-    confusion = M.confusion_matrix(everything)
+    # One row per model; everything below is derived from it, so the predictions are read once.
+    own = stage(M.counts(predictions, ("model", "model_order"), **options))
+    first = own.orderBy("model_order", "model").limit(1).withColumn("model", F.lit("majority"))
+    wide = own.unionByName(M.constant_counts(first, params.majority_star, **options))
+    metrics = M.bundle_of(wide)
+    contenders = M.bundle_of(own, ("model", "model_order"))
+    confusion = M.confusion_of(wide)
     best = M.champion(contenders, params.champion_metric)
     report = results.report_document(metrics, confusion, best)
     return Evaluation(metrics, confusion, best, report)
