@@ -76,13 +76,15 @@ def w06(spark, folder):
 
 @query("m01_j05_word_tfidf", "SELECT review_id, term, round(weight, 6) AS weight FROM word_weights")
 def m01(spark, folder):
-    terms = vectorise.word_terms(docs(spark, folder))
+    # Tokenised once; the vocabulary and the weights read the stored lists.
+    lists = vectorise.by_document(stage(vectorise.word_lists(standard(spark, folder))))
+    terms = vectorise.terms_of_lists(lists)
     return r6(vectorise.weigh(terms, word_vocab(spark, folder, terms)), "weight")
 
 
 @query("m02_char_tfidf", "SELECT review_id, term, round(weight, 6) AS weight FROM char_weights")
 def m02(spark, folder):
-    terms = vectorise.char_terms(docs(spark, folder))
+    terms = vectorise.terms_of_bags(vectorise.by_document(stage(vectorise.word_bags(docs(spark, folder)))))
     vocab = vectorise.fit_vocabulary(terms, ranking.count_of(reviews(spark, folder)), MAX_GRAMS)
     return r6(vectorise.weigh(terms, vocab), "weight")
 
