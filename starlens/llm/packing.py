@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starlens.llm.common import NO_ID, key_of, stage
+from starlens.llm.common import NO_ID, key_of, stage, text_of
 
 LENGTH = 4096
 END_ID = 2
@@ -19,16 +22,28 @@ END_ID = 2
 #: Pieces of one group on average; groups are drawn by hash.
 GROUP_PIECES = 4000
 
-#: Words whose ids a worker remembers before it starts to forget all.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers before it forgets them all; some 150 bytes each.
+REMEMBERED = 800_000
+
+#: Bytes of text that are turned into ids together.
+TOGETHER = 24 << 20
+
+# Special tokens are told by their case, and a mark behind an ASCII capital may join with its
+# small letter only; texts with either are cut at blanks and nothing else.
+_CASED = r"<\||[\x{300}-\x{36f}]"
+
+# A full stop or comma between an ASCII letter or digit and a blank is a token of its own.
+_STOP = r"([a-z0-9])([.,])([ \t\n\r\v\f])"
 
 
 class WordIds:
-    """Ids of whole texts, put together from remembered ids of blank-separated words.
+    """Ids of whole texts, put together from remembered ids of their words.
 
-    The tokenizer cuts at white space before anything else, so a text's ids are
-    those of its words in order.  New words of a batch are encoded together,
-    with a special token between them.
+    The tokenizer cuts at white space before anything else and ignores case, so
+    a text's ids are those of its blank-separated words in lower case, in
+    order.  Words are told apart in Arrow, so that Python looks at each
+    different word of many texts once.  New words are encoded together, with a
+    special token between them.
     """
 
     BORDER = "<|startoftext|>"
@@ -39,43 +54,54 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.border = self.tokenizer.token_to_id(self.BORDER)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w]
+    def learn(self, words: list[str]) -> None:
+        plain = [] if self.border is None else [w for w in words if "<|" not in w]
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
-            if self.border is None:
-                found = [self._encode(w.decode("utf-8", "replace")) for w in part]
-            else:
-                text = f" {self.BORDER} ".join(w.decode("utf-8", "replace") for w in part)
-                found = [[]]
-                for x in self._encode(text):
-                    if x == self.border:
-                        found.append([])
-                    else:
-                        found[-1].append(x)
-            self.known.update((w, _packed(ids)) for w, ids in zip(part, found, strict=True))
+            ids = self._encode(f" {self.BORDER} ".join(part))
+            start = 0
+            for w in part[:-1]:
+                end = ids.index(self.border, start)
+                self.known[w] = _packed(ids[start:end])
+                start = end + 1
+            self.known[part[-1]] = _packed(ids[start:])
         for w in words:
-            if b"<|" in w:
-                self.known[w] = _packed(self._encode(w.decode("utf-8", "replace")))
+            if w not in self.known:
+                self.known[w] = _packed(self._encode(w))
 
     def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian 32-bit numbers."""
-        words = text.split()
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        cut = pc.replace_substring_regex(pc.ascii_lower(texts), _STOP, r"\1 \2\3")
+        cased = pc.match_substring_regex(texts, _CASED)
+        words = pc.ascii_split_whitespace(pc.if_else(cased, texts, cut) if pc.any(cased).as_py() else cut)
+        coded = words.flatten().dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        if missing := [w for w in dict.fromkeys(words) if w not in known]:
+        packed = list(map(self.known.get, different))
+        if missing := [w for w, ids in zip(different, packed) if ids is None]:
             self.learn(missing)
-        return b"".join(map(known.__getitem__, words))
+            packed = list(map(self.known.__getitem__, different))
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        starts = np.cumsum(sizes) - sizes
+        place = coded.indices.to_numpy()
+        bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
+        for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            own = place[first:last]
+            many = sizes[own]
+            ends = np.cumsum(many)
+            total = int(ends[-1]) if len(own) else 0
+            yield ids[np.arange(total) + np.repeat(starts[own] - ends + many, many)]
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join(x.to_bytes(4, "little") for x in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -89,6 +115,16 @@ def word_ids(path: str) -> WordIds:
     return _WORD_IDS[path]
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of about ``TOGETHER`` bytes of text."""
+    passed = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER
+    first = 0
+    for last in [*(np.flatnonzero(np.diff(passed)) + 1).tolist(), batch.num_rows]:
+        if last > first:
+            yield batch.slice(first, last - first)
+        first = last
+
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, draw long"
 
 
@@ -99,13 +135,13 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
         ids_of = word_ids(tokenizer)
         end = end_id.to_bytes(4, "little")
         drawn = 0
-        for batch in batches:
+        for batch in (part for b in batches for part in _parts(b)):
             columns: list[list] = [[] for _ in range(7 if with_ids else 6)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids_of.encode(text.as_py()) + end
-                total = len(ids) // 4
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of.encode_all(batch.column(1)), strict=True):
+                own = ids.tobytes() + end
+                total = len(own) // 4
                 for start in range(0, total, length):
-                    part = ids[4 * start : 4 * (start + length)]
+                    part = own[4 * start : 4 * (start + length)]
                     drawn += 1
                     row = [doc_id, start, len(part) // 4, zlib.crc32(part), total, drawn]
                     if with_ids:
@@ -118,7 +154,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
 
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
+        F.make_valid_utf8(text_of()).alias("text"),
     )
     return texts.mapInArrow(run, PIECE + (", ids array<int>" if with_ids else ""))
 

@@ -2,7 +2,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given as given_text
+from hypothesis import settings
+from hypothesis import strategies as st
 
 from starlens.llm.packing import WordIds, first_fit_decreasing, pack
 
@@ -26,8 +30,24 @@ HARD = [
 def test_ids_by_words(whole, given, docs):
     ids = WordIds(PATH)
     texts = HARD + [r.text for r in given.select("text").collect()] + [r.text for r in docs.select("text").collect()]
-    for text in texts:
-        assert np.frombuffer(ids.encode((text or "").encode()), "<u4").tolist() == whole(text), text
+    found = list(ids.encode_all(pa.array([t or "" for t in texts])))
+    for text, got in zip(texts, found, strict=True):
+        assert got.tolist() == whole(text), text
+    part = [x.tolist() for x in ids.encode_all(pa.array([t or "" for t in texts]).slice(3, 2))]
+    assert part == [whole(texts[3]), whole(texts[4])]
+
+
+@settings(max_examples=300, deadline=None)
+@given_text(st.text("aJhtwyIKÅéß'., !1٣<|>\u0301\u0308\u030a\u030c\u0331İΣσ\n\x1c\x85\u00a0\u2028🚀", max_size=40))
+def test_ids_of_random_texts(text):
+    t = tokenizers.Tokenizer.from_file(PATH) if not _WHOLE else _WHOLE[0]
+    _WHOLE[:] = [t]
+    ids = _BY_WORDS[0] if _BY_WORDS else WordIds(PATH)
+    _BY_WORDS[:] = [ids]
+    assert next(ids.encode_all(pa.array([text]))).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+_WHOLE, _BY_WORDS = [], []
 
 
 def brute_first_fit(sizes, length):
