@@ -11,7 +11,7 @@ from starlens.session import stage
 NO_ID = -(2**63)
 
 #: Rows that a bucket of ``running_total`` holds on average.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 200
 
 #: Buckets in one block of the two-level prefix sums.
 BLOCK = 4096
