@@ -33,7 +33,7 @@ MAX_LANGUAGES = 500
 
 #: A text is rejected when its best cosine is below this share of what the least typical
 #: 1 % of its language's fitted rows reach.
-REJECT_SHARE = 0.25
+REJECT_SHARE = 0.1
 
 UNKNOWN = "und"
 
