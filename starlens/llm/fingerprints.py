@@ -103,7 +103,8 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS, bl
         ])
         return df.select(F.col("fp").alias(name), F.explode(entries).alias("e")).select(name, "e.table", "e.front")
 
-    met = filed(queries, "query").join(filed(index, "found"), ["table", "front"])
+    # the planner's sizes do not know how many rows the tables multiply, so it must not broadcast one
+    met = filed(queries, "query").join(filed(index, "found").hint("merge"), ["table", "front"])
     apart = F.col("query").bitwiseXOR(F.col("found"))
     first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(tables)])
     return met.where((F.bit_count(apart) <= radius) & (first == F.col("table"))).select("query", "found")
@@ -179,7 +180,8 @@ def fingerprint_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = stage(ids.join(prints, marks))
     sizes = stage(rows.groupBy("fp").agg(F.count("*").alias("n")))
     near = within_radius(sizes, sizes, radius)
-    counts = (
+    # stored, so that the join below can split the rows of a common fingerprint
+    counts = stage(
         near.join(sizes.select(F.col("fp").alias("found"), "n"), "found")
         .groupBy(F.col("query").alias("fp")).agg((F.sum("n") - 1).alias("near_docs"))
     )
