@@ -159,8 +159,9 @@ def similar_pairs(
             F.col("bits").bitwiseXOR(F.col("mask")).alias("other_bits"),
         )
     )
+    # the planner's sizes do not know how many rows the variants multiply, so it must not broadcast them
     met = filed.join(
-        looked, (F.col("bits") == F.col("other_bits")) & (F.col("start") == F.col("other_start")) & (F.col("owner") < F.col("other"))
+        looked.hint("merge"), (F.col("bits") == F.col("other_bits")) & (F.col("start") == F.col("other_start")) & (F.col("owner") < F.col("other"))
     )
     apart = F.col("fp").bitwiseXOR(F.col("other_fp"))
     return met.where((F.bit_count(apart) <= radius) & (_first_start(apart, radius, segments) == F.col("start"))).select(
