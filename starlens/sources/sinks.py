@@ -10,12 +10,19 @@ from starlens.operators import errors
 PREDICTION_COLUMNS = ("text", "user_rating", "ai_expected_rating", "pred_star_rounded")
 
 
+def _write_csv(df: DataFrame, path: str) -> None:
+    """With a header; texts keep their outer blanks."""
+    df.write.mode("overwrite").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+
+
 def write_scored(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Scored reviews; CSV and JSON need flat columns."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
         flat = df.select(*[c for c, kind in df.dtypes if not kind.startswith(("array", "struct", "map"))])
-        flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        _write_csv(flat, path)
     elif fmt == "json":
         writer.json(path)
     else:
@@ -58,8 +65,8 @@ def write_error_analysis(df: DataFrame, path: str, min_delta: int = 2, limit: fl
     }
     columns = ["review_id", "text", "user_rating", "pred_star_rounded", "ai_expected_rating"]
     severe = errors.severe_errors(df, min_delta).select(*columns, "abs_error")
-    severe.write.mode("overwrite").option("header", True).option("escape", '"').csv(out["severe_errors"])
+    _write_csv(severe, out["severe_errors"])
     shaky = errors.low_confidence_hits(df, limit).select(*columns, "max_prob")
-    shaky.write.mode("overwrite").option("header", True).option("escape", '"').csv(out["low_confidence_correct"])
+    _write_csv(shaky, out["low_confidence_correct"])
     write_summary(errors.confusion_pairs(df, min_delta), out["confusion_summary"])
     return out

@@ -15,12 +15,14 @@ def _string_schema(names: Sequence[str]) -> t.StructType:
     return t.StructType([t.StructField(n, t.StringType()) for n in names])
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
     """CSV with a header; every column is a string, ratings are parsed later.
 
-    Without ``columns`` only the header line is read to learn the names.
+    Without ``columns`` only the header line is read to learn the names.  Where
+    no quoted text holds a line break, ``multi_line=False`` lets Spark split
+    large files; otherwise each file is one task.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if columns:
         reader = reader.schema(_string_schema(columns))
     return reader.csv(path)
