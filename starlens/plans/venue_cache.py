@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 
 from starlens.operators import venues
 from starlens.params import Params
-from starlens.plans.score import LinearModel, score_reviews
+from starlens.plans.score import Scorer, score_reviews
 
 
-def venue_reviews(reviews: DataFrame, model: LinearModel, params: Params = Params(), k: int = 5) -> DataFrame:
+def venue_reviews(reviews: DataFrame, model: Scorer, params: Params = Params(), k: int = 5) -> DataFrame:
     """Scored first k reviews of every venue; venues are dealt out if the table names none."""
     if "place_name" not in reviews.columns:
         reviews = venues.assign_venues(reviews)

@@ -150,3 +150,46 @@ def test_no_python_workers_in_built_in_queries(spark, data):
     for name in ("q06_score_reviews", "f05_f09_strategies", "m01_j05_word_tfidf", "q03_q04_augment_minority", "a20_venue_rollup"):
         plan = load()[name].run(spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_reviews_are_scored_by_any_model(spark):
+    import numpy as np
+    from starlens.plans.score import TrainedModel, score_reviews
+
+    texts = ["อร่อยมาก บริการแย่", "good place good food", "bad place bad food", "nothing", "fine", "", None]
+    rows = spark.createDataFrame(
+        [(i, t, i % 5 + 1, "p") for i, t in enumerate(texts)], "review_id long, text string, user_rating int, place_name string"
+    )
+    known = rows.where("text <> ''")
+    for mode in ("five_class", "regression"):
+        params = FAST.override(use_char_features=False, word_max_features=50, word_min_df=1, mode=mode)
+        made = FE.fit_features(known, params)
+        labelled = L.with_training_columns(made.transform(known), params)
+        model = TrainedModel(made, L.fit("logistic", labelled, labelled, params))
+        out = score_reviews(known, model, params)
+        assert {*rows.columns, "ai_expected_rating", "delta", "is_anomaly", "aspect_food"} <= set(out.columns) and "features" not in out.columns
+        assert sorted(r["review_id"] for r in out.where("ai_expected_rating between 1 and 5").collect()) == [0, 1, 2, 3, 4]
+        plan = score_reviews(known, model, params, skip_aspects=True)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+
+    def load():
+        return lambda batch: np.tile([0.0, 0.0, 0.0, 0.0, 1.0], (len(batch), 1))
+
+    own = score_reviews(rows, load).collect()
+    assert len(own) == 7 and all(r["ai_expected_rating"] == 5 and r["aspect_food"] == 5 for r in own)
+
+
+def test_stored_models_are_evaluated(spark, tmp_path):
+    from starlens.plans.evaluate import evaluate_stored
+
+    texts = ["good food here", "bad food here", "good place", "bad place then", "food food good"]
+    rows = spark.createDataFrame([(i, t, i % 5 + 1) for i, t in enumerate(texts)], "review_id long, text string, user_rating int")
+    params = FAST.override(use_char_features=False, word_max_features=50)
+    made = FE.fit_features(rows, params)
+    labelled = L.with_training_columns(made.transform(rows), params)
+    registry.save_model(spark, "words", str(tmp_path), made, L.fit("logistic", labelled, labelled, params), "keep_digits", 0.0)
+    found, skipped = evaluate_stored(spark, ["words", "absent"], str(tmp_path), rows)
+    assert {r["model"]: r["n_samples"] for r in found.metrics.collect()} == {"words": 5, "majority": 5}
+    assert [r["model"] for r in skipped.collect()] == ["absent"]
+    with pytest.raises(ValueError):
+        evaluate_stored(spark, ["absent"], str(tmp_path), rows)
