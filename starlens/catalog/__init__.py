@@ -6,7 +6,7 @@ from importlib import import_module
 
 from starlens.catalog.base import REGISTRY, Query
 
-MODULES = ("text", "ratings", "evaluation", "sampling", "scoring", "profiling", "learning", "streams")
+MODULES = ("text", "ratings", "evaluation", "sampling", "scoring", "profiling", "learning", "streams", "files")
 
 
 def load() -> dict[str, Query]:

@@ -215,3 +215,49 @@ def s18(spark, folder):
     return again.join(own, "review_id").select(
         "review_id", "user_rating", F.col("own").eqNullSafe(F.col("ai_expected_rating")).alias("same")
     )
+
+
+@query(
+    "q06_score_trained",
+    "SELECT review_id, user_rating, true AS in_range, true AS aspects_in_range, true AS flags_agree FROM clean",
+)
+def q06_trained(spark, folder):
+    """Score whole reviews and their sentences with a model trained on the same table."""
+    from starlens.plans.score import TrainedModel, score_reviews
+
+    rows = texts(spark, folder)
+    vectoriser, found = P.train_on_texts(rows, FULL, ("logistic",))
+    out = score_reviews(rows, TrainedModel(vectoriser, found.models["logistic"]), FULL)
+    rating = F.col("ai_expected_rating")
+    gap = F.abs(F.col("user_rating") - rating)
+    aspects_fit = F.lit(True)
+    for name in (c for c in out.columns if c.startswith("aspect_")):
+        aspects_fit = aspects_fit & F.col(name).between(1, 5)
+    return out.select(
+        "review_id", "user_rating", rating.between(1, 5).alias("in_range"), aspects_fit.alias("aspects_in_range"),
+        ((F.abs(F.col("delta") - gap) < 1e-9) & (F.col("is_anomaly") == (gap >= FULL.anomaly_threshold))).alias("flags_agree"),
+    )
+
+
+@query(
+    "s19_q07_evaluate_stored",
+    _facts_sql(("plain", "boosted_low_stars", "majority"), _VECTOR_STARS).replace(
+        "true AS in_range, true AS metrics_agree", "true AS in_range"
+    )
+    + " UNION ALL SELECT 'absent', NULL, NULL",
+)
+def s19(spark, folder):
+    """Train and store two models, then evaluate what the registry holds; a third name has no model."""
+    from starlens.plans.evaluate import evaluate_stored
+    from starlens.session import shared_dir
+    from starlens.sources import registry
+
+    parts = P.split_features(embedded(spark, folder), FULL)
+    root = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    for name, boost in (("plain", 1.0), ("boosted_low_stars", FULL.low_star_boost)):
+        params = FULL.override(low_star_boost=boost)
+        labelled = L.with_training_columns(parts["train"], params)
+        registry.save_model(spark, name, root, None, L.fit("logistic", labelled, labelled, params), "keep_digits", 0.0)
+    found, skipped = evaluate_stored(spark, ["plain", "boosted_low_stars", "absent"], root, parts["holdout"])
+    judged = found.metrics.select("model", "n_samples", F.col("mae").between(0, 4).alias("in_range"))
+    return judged.unionByName(skipped.select("model"), allowMissingColumns=True)
