@@ -60,7 +60,9 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
     )
 
 
-def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
+def remove_spread_lines(
+    docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True, identity: Column | None = None
+) -> DataFrame:
     """``docs`` with cleaned text, and n_lines and n_removed in ``line_dedup``.
 
     A line is what stands between line feeds; blanks around it do not matter.
@@ -70,11 +72,14 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
     Null texts stay null; empty texts and blank lines stay as they are; a
     document of nothing but boilerplate is left with an empty text.  Rows that
     repeat a doc_id are treated as one document, a null doc_id as the smallest.
-    All columns of ``docs`` are kept, and ``text`` alone changes.
+    With ``identity`` its value, not null, tells documents apart and orders
+    them instead of the id.  All columns of ``docs`` are kept, and ``text``
+    alone changes.
     """
+    identity = key_of() if identity is None else identity
     split = F.split(F.col("text"), BREAK)
     lines = stage(
-        docs.select(key_of().alias("key"), site_of().alias("site"), F.explode(split).alias("line"))
+        docs.select(identity.alias("key"), site_of().alias("site"), F.explode(split).alias("line"))
         .select("key", "site", line_hash(line_key(F.col("line"))).alias("h"))
         .where("h is not null")
         .select("key", "site", "h.h1", "h.h2")
@@ -91,7 +96,7 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
     touched = F.col(gone).isNotNull() & F.col("text").isNotNull()
     cleaned = F.filter(split, lambda x: ~F.coalesce(F.array_contains(gone, line_hash(line_key(x))), F.lit(False)))
     return (
-        docs.withColumn(key, key_of())
+        docs.withColumn(key, identity)
         .join(struck, key, "left")
         .withColumn(left, F.when(touched, cleaned))
         .withColumn(
