@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from starlens.llm.common import free_names, key_of, stage, text_of
 
 # Patterns in order of preference.  Each begins where no such character stands before it
-# and has bounded repeats, so a long run of one character is passed in linear time.
+# and has bounded or possessive repeats, so a long run of one character is passed in linear time.
+# A secret has a letter or digit; a line of punctuation is none.
 PATTERNS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
-    ("secret", r"(?i:(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)[ ]?[=:][ ]?[\"']?)[A-Za-z0-9+/_.~-]{8,200}"),
+    ("secret", r"(?i:(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)[ ]?[=:][ ]?[\"']?)(?=[+/_.~-]*+[A-Za-z0-9])[A-Za-z0-9+/_.~-]{8,}+"),
     ("accesskey", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -41,6 +42,7 @@ SYLLABLES = {
 }
 
 #: Rounds of new draws for surrogates that collide; each round leaves only what collided again.
+#: What is left after them gets a longer code that is free for certain.
 MAX_ROUNDS = 40
 
 
@@ -161,6 +163,8 @@ def rendered(kind: Column, value: Column, code: Column) -> Column:
     country = F.substr(F.regexp_replace(value, "[^0-9]", ""), F.lit(1), F.greatest(F.lit(0), digits - 10))
     return (
         F.when(kind == "email", cased)
+        # a widened code has more digits than the mention's format has room for
+        .when(kind.isin("phone", "card", "ssn", "iban") & (F.length(code) > 34), code)
         .when(kind == "phone", filled(value, F.concat(country, code)))
         .when(kind.isin("card", "ssn"), filled(value, code))
         .when(kind == "iban", filled(value, code, "[A-Z0-9]"))
@@ -175,7 +179,8 @@ def surrogate_codes(entities: DataFrame, secret: str) -> DataFrame:
 
     Every entity draws a code.  Where several drew the same, the smallest
     keeps it; where a code is an entity or was given before, nobody does.  The
-    rest draws anew, until nothing is left.
+    rest draws anew; what is left after ``MAX_ROUNDS`` draws, because its
+    format has no or hardly any free code, gets a widened one.
     """
     entities = stage(entities.select("kind", "canon").distinct())
     given: DataFrame | None = None
@@ -195,7 +200,24 @@ def surrogate_codes(entities: DataFrame, secret: str) -> DataFrame:
         if left.isEmpty():
             return given
         taken = entities.select("kind", F.col("canon").alias("code")).unionByName(given.select("kind", "code"))
-    raise ValueError("surrogates still collide; the formats leave too few of them")
+    return given.unionByName(left.withColumn("code", _widened(F.col("kind"), F.col("canon"), secret)))
+
+
+def _widened(kind: Column, canon: Column, secret: str) -> Column:
+    """A code for an entity whose format is full: 32 keyed digits (letters in names) behind the last draw, in an email before the @."""
+    code = codes(kind, canon, secret, F.lit(MAX_ROUNDS))
+    digits = F.translate(
+        F.substr(F.sha2(F.concat_ws("\u0001", F.lit(secret), F.lit("wide"), kind, canon), 256), F.lit(1), F.lit(32)), "abcdef", "012345"
+    )
+    script = F.split(canon, r"\|")[1]
+    letters = F.when(script == "cyrillic", F.translate(digits, "0123456789", "абвгдезикл")).otherwise(
+        F.translate(digits, "0123456789", "abcdefghij")
+    )
+    return (
+        F.when(kind == "email", F.concat(F.substring_index(code, "@", 1), digits, F.lit("@"), F.substring_index(code, "@", -1)))
+        .when(kind == "person", F.concat(code, letters))
+        .otherwise(F.concat(code, digits))
+    )
 
 
 def replace_entities(docs: DataFrame, secret: str) -> DataFrame:
@@ -204,8 +226,8 @@ def replace_entities(docs: DataFrame, secret: str) -> DataFrame:
     ``entities`` lists (kind, value, surrogate) in the order of the text; it is
     empty where nothing was found.  One entity has one surrogate in all
     documents and in all its formats, of the same type, length, gender and
-    script, and different entities have different ones; only who holds
-    ``secret`` can draw them again.  Null texts stay null.  Rows that repeat
+    script, and different entities have different ones (longer where a format
+    has no free code left); only who holds ``secret`` can draw them again.  Null texts stay null.  Rows that repeat
     come back as often as given, and all columns of ``docs`` are kept; only
     ``text`` changes.  An empty table gives an empty result.
     """

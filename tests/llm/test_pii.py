@@ -101,3 +101,28 @@ def test_columns(docs, nothing):
 def test_no_python_in_the_plan(docs):
     plan = replace_entities(docs, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_punctuation_is_no_secret(spark):
+    rows = [(1, "Password: ________"), (2, "token: --------"), (3, "pwd=____abcd____")]
+    got = {r.doc_id: r for r in run(spark, rows)}
+    assert got[1].text == rows[0][1] and got[2].text == rows[1][1]
+    assert re.fullmatch(r"pwd=____[a-z]{4}____", got[3].text) and got[3].text != rows[2][1]
+
+
+def test_full_formats_are_widened(spark, monkeypatch):
+    monkeypatch.setattr("starlens.llm.pii.MAX_ROUNDS", 2)  # the way for leftovers, sooner
+    rows = [(i, f"write to {c}@q.example.org") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")]
+    rows += [(100 + i, f"or {c}@z.example.org") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    got = run(spark, rows)
+    codes = [r.entities[0].surrogate for r in got]
+    assert len(set(codes)) == len(rows) and not set(codes) & {t.split()[-1] for _, t in rows}
+    assert all(re.fullmatch(r"[a-z0-9]{1,33}@[a-z]\.example\.org", c) for c in codes)
+
+
+def test_long_secrets_are_replaced_whole(spark):
+    long = "".join(chr(97 + i * i % 26) for i in range(5000))
+    rows = [(1, f"token={long}KEY1 end"), (2, f"token={long}KEY2 end")]
+    got = {r.doc_id: r for r in run(spark, rows)}
+    assert all(len(r.text) == len(rows[0][1]) and r.text.endswith(" end") and long[-100:] not in r.text for r in got.values())
+    assert got[1].text != got[2].text
