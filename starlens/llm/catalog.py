@@ -11,11 +11,15 @@ from starlens.llm import (
     langid,
     license_scan,
     line_dedup,
+    merkle_manifest,
     mixing,
+    oracles,
     packing,
+    piece_codec,
     pii,
     sharding,
     simhash_dedup,
+    vector_codes,
 )
 
 
@@ -29,6 +33,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(documents(spark, folder))
 
@@ -72,11 +82,24 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(documents(spark, folder))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_manifest.verify(documents(spark, folder), merkle_manifest.tampered_text())
+
+
+def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_codec.digests(documents(spark, folder), piece_model_path())
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_line_dedup, op3_simhash_near_dedup, op4_mixing, op5_packing, op6_pii_surrogates,
-        op7_exact_dedup, op8_fingerprints, op9_language_id, op10_sharding,
+        op7_exact_dedup, op8_fingerprints, op9_language_id, op10_sharding, op11_merkle_manifest, op12_sentencepiece,
+        op13_vector_codes,
     )
 }
 
@@ -84,6 +107,8 @@ QUERIES = {
 _BARE = r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 
 ORACLES = {
+    "op11_merkle_manifest": oracles.MERKLE,
+    "op13_vector_codes": oracles.VECTOR_CODES,
     "op2_line_dedup": f"""
         WITH split AS (
             SELECT doc_id, source, i, line, {_BARE} AS bare
