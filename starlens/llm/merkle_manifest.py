@@ -251,12 +251,16 @@ def tree_of(group: str = "lang") -> Column:
     return F.coalesce(F.concat(F.lit("l"), value), F.lit(""))
 
 
+def heights(parents: DataFrame, above: int) -> DataFrame:
+    """(tree, top): the highest level of each tree with more than ``above`` levels."""
+    return stage(parents.groupBy("tree").agg(F.max("level").alias("top")).where(F.col("top") > above))
+
+
 def ancestors(nodes: DataFrame, parents: DataFrame, level: int) -> DataFrame:
-    """Nodes (tree, node, ...) of a ``level`` joined with all parents above them, up to their trees' roots."""
+    """Nodes (tree, node, top, ...) of a ``level`` joined with all parents above them, up to level ``top``."""
     above = parents.select("tree", "level", "parent", "digest", "children", "states")
-    heights = stage(above.groupBy("tree").agg(F.max("level").alias("top")).where(F.col("top") > level))
     steps = (
-        nodes.join(heights, "tree")
+        nodes.where(F.col("top") > level)
         .withColumn("level", F.explode(F.sequence(F.lit(level + 1), F.col("top"))))
         .withColumn("parent", F.floor(F.col("node") / F.pow(F.lit(ARITY), F.col("level") - level)))
         .drop("node", "top")
@@ -356,13 +360,17 @@ def prove(leaves: DataFrame, parents: DataFrame, trees: DataFrame, levels: int =
     rows = leaves.join(trees, "tree").withColumn("stretch", F.floor(F.col("pos") / ARITY**levels))
     stretches = rows.select(F.col("tree").alias("own"), "tree_pos", "stretch").distinct()
     inside = parents.where((F.col("tree") != TOP) & (F.col("base") == 0)).withColumn("own", F.col("tree"))
+    high = parents.where((F.col("tree") != TOP) & (F.col("base") > 0))
     over = ancestors(
-        stretches.select(F.col("own").alias("tree"), "own", "stretch", F.col("stretch").alias("node")),
-        parents.where((F.col("tree") != TOP) & (F.col("base") > 0)), levels,
+        stretches.select(F.col("own").alias("tree"), "own", "stretch", F.col("stretch").alias("node"))
+        .join(heights(high, levels), "tree"),
+        high, levels,
     )
     # the roots of the groups' trees are the leaves of the top tree
     top = ancestors(
-        stretches.select(F.lit(TOP).alias("tree"), "own", "stretch", F.col("tree_pos").alias("node")),
+        stretches.select(
+            F.lit(TOP).alias("tree"), "own", "stretch", F.col("tree_pos").alias("node"), F.lit(height(trees.count())).alias("top")
+        ),
         parents.where(F.col("tree") == TOP), 0,
     )
     columns = ["own", "stretch", "tree", "level", "parent", "digest", "children", "states"]
