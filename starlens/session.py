@@ -44,17 +44,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame, key: str = "") -> DataFrame:
-    """Spread a table that comes in a single split, which the reader's split size bounds.
+    """Spread a small table whose rows sit in a few of its splits.
 
-    Text work is bound by the processor, so one small file would leave all
-    cores but one idle.  A table of several splits is returned as it is.
+    Text work is bound by the processor, so a file of one row group would leave
+    all cores but one idle, however many splits it is read in.  Tables with a
+    file for every other core and no file above its share, and tables with more
+    bytes than one split per core, are returned as they are.
     """
-    if df.rdd.getNumPartitions() > 1:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) > 2 * cores:
+        return df
+    sizes = _file_sizes(spark, files)
+    if sum(sizes) > cores * _split_bytes(spark) or 2 * max(sizes, default=0) * cores < 5 * sum(sizes):
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, F.col(key)) if key else df.repartition(cores)
 
 
+def _file_sizes(spark: SparkSession, files: list[str]) -> list[int]:
+    """Bytes of each file, asked from the store that holds it."""
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f)) for f in files]
+    return [p.getFileSystem(settings).getFileStatus(p).getLen() for p in paths]
+
+
+def _split_bytes(spark: SparkSession) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")
+    )
+
+
 def stage(df: DataFrame, key: str | None = None) -> DataFrame:
     """Write a table that several later passes read, and go on from the written files.
 
