@@ -58,27 +58,41 @@ class PieceCodec:
         self.byte_ids = {int(pieces[i][1:-1], 16): i for i in size if library.is_byte(i)}
         if len(self.byte_ids) != 256:
             raise ValueError("the model has no byte fallback")
-        # A byte's piece is a lone surrogate, as in Python's "surrogateescape".
+        # A byte that is no character by itself is a lone surrogate, as in Python's "surrogateescape".
         self.surface = [_CONTROL] * len(pieces)
         for i in plain:
             self.surface[i] = pieces[i].replace(BLANK, " ")
         for byte, i in self.byte_ids.items():
-            self.surface[i] = chr(0xDC00 + byte)
-        self.unknown = library.unk_id()
-        self.surface[self.unknown] = library.decode([self.unknown])
+            self.surface[i] = chr(byte if byte < 0x80 else 0xDC00 + byte)
+        self.surface[library.unk_id()] = library.decode([library.unk_id()])
+        self.plain = set(plain)
         self.decimal = [str(i) for i in size]
         self.prefix = self.normalise("x").startswith(BLANK)
         self.pairs = {p[i : i + 2] for p in self.order for i in range(len(p) - 1)}
-        inner = any(pair[1] == BLANK != pair[0] for pair in self.pairs)
-        self.stretches = re.compile("(?s).+" if inner else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
+        self.stretches = re.compile(self._stretch_pattern()).findall
         self.known: dict[str, list[int]] = {}
-        self.follow: dict[tuple[str, str], bool] = {}
+        # per piece, whether it may follow another one
+        self.follow: dict[str, dict[str, bool]] = {p: {} for p in self.order if len(p) == 1 or self.merged(p) == [p]}
+        self.followed = 0
         self.automaton = ahocorasick.Automaton()
-        for piece in self.order:
-            if len(piece) == 1 or self.merged(piece) == [piece]:
-                self.automaton.add_word(piece, piece)
+        for piece, after in self.follow.items():
+            self.automaton.add_word(piece, (piece, len(piece), after))
         self.automaton.make_automaton()
 
+    def _stretch_pattern(self) -> str:
+        """Cuts texts before blanks, and where the largest set of characters that pieces join begins or ends."""
+        if any(pair[1] == BLANK != pair[0] for pair in self.pairs):
+            return "(?s).+"
+        joined: dict[str, set[str]] = {}
+        for a, b in (pair for pair in self.pairs if BLANK not in pair):
+            one, other = joined.setdefault(a, {a}), joined.setdefault(b, {b})
+            if one is not other:
+                small, large = sorted((one, other), key=len)
+                large |= small
+                joined.update(dict.fromkeys(small, large))
+        letters = re.escape("".join(sorted(max(joined.values(), key=len, default={"x"}))))
+        return f"{BLANK}*[{letters}]+|{BLANK}*[^{letters}{BLANK}]+|{BLANK}+"
+
     def merged(self, text: str) -> list[str]:
         """Tokens by the plain rule: merge the best pair, of equal ones the first, until none is left."""
         tokens = list(text)
@@ -94,25 +108,30 @@ class PieceCodec:
         return tokens
 
     def compatible(self, token: str, following: str) -> bool:
-        found = self.follow.get((token, following))
+        after = self.follow[following]
+        found = after.get(token)
         if found is None:
-            if len(self.follow) > REMEMBERED:
-                self.follow.clear()
-            found = self.follow[token, following] = self.merged(token + following) == [token, following]
+            if self.followed > REMEMBERED:
+                for known in self.follow.values():
+                    known.clear()
+                self.followed = 0
+            self.followed += 1
+            found = after[token] = self.merged(token + following) == [token, following]
         return found
 
     def tokens(self, text: str) -> list[str]:
         """Tokens of a stretch by the table of last tokens, read backwards."""
-        n = len(text)
-        last: list[str | None] = [None] * (n + 1)
-        for end, piece in self.automaton.iter(text):
-            # shorter matches follow longer ones; a character of its own is tried when nothing else fits
-            start = end + 1 - len(piece)
-            before = last[start]
-            if last[end + 1] is None and (start == 0 or (before is not None and self.compatible(before, piece))):
-                last[end + 1] = piece
-        out, end = [], n
-        while end:
+        last: list[str | None] = [None] * len(text)
+        for end, (piece, size, after) in self.automaton.iter(text):
+            if last[end] is None:
+                if size > end:
+                    last[end] = piece
+                else:
+                    before = last[end - size]
+                    if before is not None and (after[before] if before in after else self.compatible(before, piece)):
+                        last[end] = piece
+        out, end = [], len(text) - 1
+        while end >= 0:
             piece = last[end]
             if piece is None:
                 return self.merged(text)
@@ -122,27 +141,35 @@ class PieceCodec:
         return out
 
     def _ids(self, text: str) -> list[int]:
-        if len(text) == 1:
-            one = self.id_of.get(text)
-            return [self.byte_ids[b] for b in text.encode()] if one is None else [one]
-        return [self.id_of[t] for t in self.tokens(text)]
+        """Ids of a stretch in which all neighbours meet in some piece."""
+        found = self.known.get(text)
+        if found is None:
+            if text in self.id_of and text in self.follow:
+                found = [self.id_of[text]]
+            elif len(text) == 1:
+                found = [self.byte_ids[b] for b in text.encode()]
+            else:
+                found = [self.id_of[t] for t in self.tokens(text)]
+            self._remember(text, found)
+        return found
 
     def _stretch(self, text: str) -> list[int]:
-        """Ids of a stretch, cut once more wherever two neighbours never meet in a piece."""
-        found = self.known.get(text)
-        if found is not None:
-            return found
+        """Ids of a stretch, cut wherever two neighbours never meet in a piece."""
         out, start, pairs = [], 0, self.pairs
         for i in range(1, len(text)):
             if text[i - 1 : i + 1] not in pairs:
                 out += self._ids(text[start:i])
                 start = i
         out += self._ids(text[start:])
+        if start:
+            self._remember(text, out)
+        return out
+
+    def _remember(self, text: str, ids: list[int]) -> None:
         if len(text) <= SHORT:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            self.known[text] = out
-        return out
+            self.known[text] = ids
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -153,12 +180,13 @@ class PieceCodec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; each byte that is no part of valid UTF-8 becomes U+FFFD."""
-        parts = "".join(map(self.surface.__getitem__, ids)).split(_CONTROL)
-        first = next((i for i, part in enumerate(parts) if part), 0)
-        if self.prefix and parts[first].startswith(" "):
-            if next(i for i in ids if self.surface[i] != _CONTROL) != self.unknown:
-                parts[first] = parts[first][1:]
-        return "".join(map(_with_bytes, parts))
+        text = "".join(map(self.surface.__getitem__, ids))
+        if self.prefix and ids:
+            # the blank before the first word, if a piece gives it and not a byte
+            first = next((i for i in ids if self.surface[i] != _CONTROL), None)
+            if first in self.plain and self.surface[first].startswith(" "):
+                text = text.replace(" ", "", 1)
+        return "".join(map(_with_bytes, text.split(_CONTROL))) if _CONTROL in text else _with_bytes(text)
 
 
 def _with_bytes(text: str) -> str:
@@ -167,9 +195,9 @@ def _with_bytes(text: str) -> str:
         text.encode()
         return text
     except UnicodeEncodeError:
-        raw = b"".join(bytes([ord(c) - 0xDC00]) if 0xDC00 <= ord(c) <= 0xDCFF else c.encode() for c in text)
+        text = text.encode("utf-8", "surrogateescape").decode("utf-8", "surrogateescape")
     # what is no UTF-8 comes back as one surrogate a byte
-    return re.sub("[\udc80-\udcff]", _REPLACEMENT, raw.decode("utf-8", "surrogateescape"))
+    return re.sub("[\udc80-\udcff]", _REPLACEMENT, text)
 
 
 _CODECS: dict[str, PieceCodec] = {}
