@@ -19,10 +19,6 @@ from starlens.session import stage
 
 FULL = Params()
 
-# Jobs that fit many models on texts or folds: rows and features are the full ones, but folds and
-# iterations are fewer, so that the queries end within minutes on one machine.
-SEARCH = FULL.override(folds=3, lr_max_iter=20, svm_max_iter=10, forest_trees=20, gbt_rounds=10)
-
 
 def embedded(spark, folder):
     """(review_id, user_rating, features) of the embeddings table."""
@@ -116,7 +112,7 @@ def m12(spark, folder):
     def prepare(train):
         return prepare_training_set(train, None, words, FULL)
 
-    _, found = P.train_on_texts(texts(spark, folder), SEARCH, L.FAMILIES, prepare)
+    _, found = P.train_on_texts(texts(spark, folder), FULL, L.FAMILIES, prepare)
     return facts(found).drop("is_best")
 
 
@@ -132,7 +128,7 @@ GRID = [{"family": f} for f in L.FAMILIES] + [{"family": "logistic", "lr_max_ite
     + ") AS v(candidate, family, settings)",
 )
 def m16(spark, folder):
-    found = P.search(stage(embedded(spark, folder)), GRID, SEARCH)
+    found = P.search(stage(embedded(spark, folder)), GRID, FULL)
     sound = F.col("mae_mean").between(0, 4) & (F.col("mae_std") >= 0) & F.col("accuracy_mean").between(0, 1)
     return found.select("candidate", "family", "settings", sound.alias("in_range"))
 
@@ -155,7 +151,7 @@ COMBINATIONS = {
 )
 def m17(spark, folder):
     # Seven combinations, each with vectorisers of its own in every fold.
-    found = P.ablate_features(texts(spark, folder), COMBINATIONS, SEARCH.override(folds=2))
+    found = P.ablate_features(texts(spark, folder), COMBINATIONS, FULL)
     sound = F.col("mae_mean").between(0, 4) & (F.col("mae_std") >= 0) & F.col("f1_macro_mean").between(0, 1)
     return found.select("combination", sound.alias("in_range"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starlens.functions import ratings as R
-from starlens.operators import distribution
+from starlens.operators import boosting, distribution, stacked
 from starlens.operators.once import compute_once
 from starlens.params import Params
 
@@ -41,7 +41,7 @@ class StarModel:
 
     def _with_probs(self, scored: DataFrame) -> DataFrame:
         """The model runs once per row, however often the probabilities are used."""
-        if self.family in ("logistic", "forest"):
+        if self.family != "svm":
             return compute_once(scored, "probs", vector_to_array("probability"))
         # One model per class: the positive probabilities, scaled to sum to one.
         positive = [vector_to_array(f"probability_{k}")[1] for k in range(CLASSES[self.mode])]
@@ -56,6 +56,8 @@ class StarModel:
 
 
 def _outputs(stage: Transformer) -> list[str]:
+    if isinstance(stage, boosting.SoftmaxTrees):
+        return ["probability"]
     names = ("predictionCol", "probabilityCol", "rawPredictionCol", "outputCol")
     return [stage.getOrDefault(n) for n in names if stage.hasParam(n) and stage.isDefined(n)]
 
@@ -98,21 +100,16 @@ def _fit_svm(train: DataFrame, calibration: DataFrame, params: Params) -> list[T
     return stages
 
 
+def boosting_settings(params: Params) -> boosting.Settings:
+    return boosting.Settings(rounds=params.gbt_rounds, depth=params.tree_depth, classes=CLASSES[params.mode], seed=params.seed)
+
+
 def _fit_boosted(train: DataFrame, calibration: DataFrame, params: Params) -> list[Transformer]:
-    """Boosted trees per class; the validation rows stop the rounds early."""
-    both = train.withColumn("is_validation", F.lit(False)).unionByName(
-        calibration.withColumn("is_validation", F.lit(True)), allowMissingColumns=True
-    )
-    return [
-        GBTClassifier(
-            labelCol="is_class", weightCol="weight", validationIndicatorCol="is_validation", maxIter=params.gbt_rounds,
-            maxDepth=params.tree_depth, stepSize=0.1, subsamplingRate=0.8, seed=params.seed, predictionCol=f"side_{k}",
-        )
-        .setProbabilityCol(f"probability_{k}")
-        .setRawPredictionCol(f"raw_{k}")
-        .fit(_one_vs_rest(both, k))
-        for k in range(CLASSES[params.mode])
-    ]
+    """Boosted trees with one loss over all classes; the calibration rows stop the rounds early."""
+    parts = [t.select("features", "label", "weight", F.lit(i).alias("part")) for i, t in enumerate((train, calibration))]
+    settings = boosting_settings(params)
+    fitted = boosting.fit(stacked.blocks(parts[0].unionByName(parts[1])), settings)
+    return [boosting.SoftmaxTrees.of(fitted, settings.classes)]
 
 
 def fit(family: str, train: DataFrame, calibration: DataFrame, params: Params = Params()) -> StarModel:

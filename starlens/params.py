@@ -62,6 +62,7 @@ class Params:
     forest_trees: int = 100
     gbt_rounds: int = 50
     tree_depth: int = 5
+    linear_strength: float = 1.0  # summed loss against half the squared coefficients, for stacked linear models
 
     def override(self, **changes) -> "Params":
         return replace(self, **changes)
