@@ -74,8 +74,8 @@ def quote(text: str) -> str:
 # Review endings, chosen by doc_id % 12.
 ENDINGS = (
     "",
-    "ขนมหวานนนนน 🥰🥰 จานละ 45 บาท!!!",
-    "ไม่น่ากลับไปอีก ให้ 2/9 NEVER again!!!",
+    "รอคิวนานนนน ตั้ง 2 รอบ!!! 😡 กว่าจะได้โต๊ะ",
+    "Parking FULL ตลอด จอดไกล ไม่น่าขับรถมา",
     "https://menu.invalid/p?id=7 www.menu.invalid แผนที่",
     "เด็กเสิร์ฟหายไปนาน 😡👎",
     "ปลาคาว หมูเหนียว แกงจืดชืด น้ำห่วย",

@@ -13,6 +13,7 @@ from starlens.catalog.text import cleaned
 from starlens.operators import features as FE
 from starlens.operators import learners as L
 from starlens.params import Params
+from starlens.plans import ablation
 from starlens.plans import train as P
 from starlens.plans.training_set import prepare_training_set
 from starlens.session import stage
@@ -150,8 +151,8 @@ COMBINATIONS = {
     f"SELECT combination, true AS in_range FROM (VALUES {', '.join(f'({quote(c)})' for c in COMBINATIONS)}) AS v(combination)",
 )
 def m17(spark, folder):
-    # Seven combinations, each with vectorisers of its own in every fold.
-    found = P.ablate_features(texts(spark, folder), COMBINATIONS, FULL)
+    """Seven combinations in five folds: vectorisers per fold, one stack of 35 models."""
+    found = ablation.ablate_features(texts(spark, folder), COMBINATIONS, FULL)
     sound = F.col("mae_mean").between(0, 4) & (F.col("mae_std") >= 0) & F.col("f1_macro_mean").between(0, 1)
     return found.select("combination", sound.alias("in_range"))
 

@@ -8,6 +8,7 @@ mask on the row's group, so folds need no tables of their own.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -40,7 +41,9 @@ class Plan:
     ``groups`` are the row groups it learns from, ``class_weight`` multiplies
     the rows' weights by label.  ``logistic`` has a softmax over the classes,
     ``svm`` one squared hinge per class against the rest; ``strength`` weighs
-    the summed loss against half the squared coefficients.
+    the summed loss against half the squared coefficients.  ``columns`` are
+    the ranges (start, stop, unit) of features that the model sees, with
+    ``unit`` scaled to length one within the range; None is all as they are.
     """
 
     family: str
@@ -49,6 +52,10 @@ class Plan:
     strength: float = 1.0
     iterations: int = 100
     class_weight: tuple[float, ...] | None = None
+    columns: tuple[tuple[int, int, bool], ...] | None = None
+
+    def width(self, all_columns: int) -> int:
+        return all_columns if self.columns is None else sum(stop - start for start, stop, _ in self.columns)
 
     def weights(self, block: Block) -> np.ndarray:
         weight = np.where(np.isin(block.part, list(self.groups)), block.weight, 0.0)
@@ -118,6 +125,25 @@ class Block:
         self.dense = self.values.reshape(self.rows, self.width) if len(self.values) == self.rows * self.width else None
         self.row_of = None if self.dense is not None else np.repeat(np.arange(self.rows), np.diff(self.starts))
 
+    def view(self, columns: tuple[tuple[int, int, bool], ...] | None) -> Block:
+        """The block with some ranges of columns, those with unit length scaled."""
+        if columns is None:
+            return self
+        rows = self.row_of if self.dense is None else np.repeat(np.arange(self.rows), self.width)
+        places = self.columns if self.dense is None else np.tile(np.arange(self.width), self.rows)
+        out, found, start_at = copy.copy(self), [], 0
+        for start, stop, unit in columns:
+            own = (places >= start) & (places < stop)
+            row, values = rows[own], self.values[own]
+            if unit:
+                length = np.sqrt(np.bincount(row, values**2, self.rows))
+                values = values / np.where(length > 0, length, 1)[row]
+            found.append((row, places[own] - start + start_at, values))
+            start_at += stop - start
+        out.row_of, out.columns, out.values = (np.concatenate(x) for x in zip(*found))
+        out.width, out.dense = start_at, None
+        return out
+
     def times(self, matrix: np.ndarray) -> np.ndarray:
         """(rows, k): the rows times coefficients (width, k)."""
         if self.dense is not None:
@@ -196,31 +222,46 @@ def over_blocks(table: DataFrame, shared, size: int, add: Callable[[Block, objec
         sent.unpersist()
 
 
+def by_view(plans: Sequence[Plan]) -> dict[tuple | None, list[int]]:
+    """The numbers of the plans that see the same columns."""
+    out: dict[tuple | None, list[int]] = {}
+    for i, plan in enumerate(plans):
+        out.setdefault(plan.columns, []).append(i)
+    return out
+
+
 def _evaluate(table: DataFrame, plans: Sequence[Plan], at: Sequence[np.ndarray]) -> list[tuple[float, np.ndarray]]:
     """Objective and gradient of every model at its coefficients (width + 1, classes), intercepts last; one pass."""
-    rows = len(at[0])
-    bounds = np.cumsum([0, *[p.classes for p in plans]])
-
-    def add(block: Block, stack: np.ndarray, total: np.ndarray) -> None:
-        sums, gradient = total[: 2 * len(plans)].reshape(-1, 2), total[2 * len(plans) :].reshape(rows, -1)
-        scores = block.times(stack[:-1]) + stack[-1]
-        errors = np.empty_like(scores)
-        for i, plan in enumerate(plans):
-            own = slice(bounds[i], bounds[i + 1])
-            weight = plan.weights(block)
-            loss, errors[:, own] = _loss(plan, scores[:, own], block.label, weight)
-            sums[i] += loss, weight.sum()
-        gradient[:-1] += block.transposed_times(errors)
-        gradient[-1] += errors.sum(0)
-
-    found = over_blocks(table, np.concatenate(at, axis=1), 2 * len(plans) + rows * int(bounds[-1]), add)
-    sums, gradient = found[: 2 * len(plans)].reshape(-1, 2), found[2 * len(plans) :].reshape(rows, -1)
+    head = 2 * len(plans)
+    ends = head + np.cumsum([x.size for x in at])
+    views = by_view(plans)
+
+    def add(block: Block, stacks: dict, total: np.ndarray) -> None:
+        sums = total[:head].reshape(-1, 2)
+        for columns, own in views.items():
+            weights = {i: plans[i].weights(block) for i in own}
+            if not any(w.any() for w in weights.values()):
+                continue
+            seen = block.view(columns)
+            scores = seen.times(stacks[columns][:-1]) + stacks[columns][-1]
+            errors, first = np.empty_like(scores), 0
+            for i in own:
+                here = slice(first, first := first + plans[i].classes)
+                loss, errors[:, here] = _loss(plans[i], scores[:, here], block.label, weights[i])
+                sums[i] += loss, weights[i].sum()
+            slopes, first = np.vstack([seen.transposed_times(errors), errors.sum(0)]), 0
+            for i in own:
+                total[ends[i] - at_sizes[i] : ends[i]] += slopes[:, first : (first := first + plans[i].classes)].ravel()
+
+    at_sizes = [x.size for x in at]
+    stacks = {columns: np.concatenate([at[i] for i in own], axis=1) for columns, own in views.items()}
+    found = over_blocks(table, stacks, int(ends[-1]), add)
     out = []
     for i, (plan, x) in enumerate(zip(plans, at)):
-        loss, weight = sums[i]
+        loss, weight = found[2 * i : 2 * i + 2]
         weight = weight or 1.0
         penalty = 1 / (plan.strength * weight)
-        slope = gradient[:, bounds[i] : bounds[i + 1]] / weight
+        slope = found[ends[i] - x.size : ends[i]].reshape(x.shape) / weight
         slope[:-1] += penalty * x[:-1]
         out.append((loss / weight + penalty / 2 * float((x[:-1] ** 2).sum()), slope))
     return out
@@ -284,7 +325,7 @@ def fit(table: DataFrame, plans: Sequence[Plan]) -> list[np.ndarray]:
     """
     first = table.select("width").first()
     width = first["width"] if first else 0
-    searches = [Descent(np.zeros((width + 1, p.classes)), p.iterations if first else 0) for p in plans]
+    searches = [Descent(np.zeros((p.width(width) + 1, p.classes)), p.iterations if first else 0) for p in plans]
     while open_ones := [i for i, s in enumerate(searches) if not s.done]:
         found = _evaluate(table, [plans[i] for i in open_ones], [searches[i].proposal() for i in open_ones])
         for i, (value, slope) in zip(open_ones, found):
@@ -382,3 +423,27 @@ def fit_families(table: DataFrame, plans: Sequence[Plan], calibration: Sequence[
         svm_stages(spark, fitted[i], curves[i], f"svm_{i}") if i in curves else logistic_stages(spark, fitted[i], f"logistic_{i}")
         for i in range(len(plans))
     ]
+
+
+def judged(table: DataFrame, plans: Sequence[Plan], fitted: Sequence[np.ndarray], groups: Sequence[frozenset[int]]) -> DataFrame:
+    """(model, user_rating, ai_expected_rating) of each logistic model's rows in its ``groups``, one pass for all."""
+    views = by_view(plans)
+    sent = table.sparkSession.sparkContext.broadcast(list(fitted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in each_block(batches):
+            for columns, own in views.items():
+                chosen = {i: np.isin(block.part, list(groups[i])) for i in own}
+                if not any(c.any() for c in chosen.values()):
+                    continue
+                seen = block.view(columns)
+                for i in own:
+                    at = sent.value[i]
+                    probs = softmax(seen.times(at[:-1]) + at[-1])[chosen[i]]
+                    expected = probs @ np.arange(1, plans[i].classes + 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(probs), i, np.int32)), pa.array((block.label[chosen[i]] + 1).astype(np.int32)), pa.array(expected)],
+                        ["model", "user_rating", "ai_expected_rating"],
+                    )
+
+    return table.mapInArrow(run, "model int, user_rating int, ai_expected_rating double")

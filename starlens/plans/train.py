@@ -131,7 +131,7 @@ def cross_validate(df: DataFrame, params: Params, family: str, prepare: Callable
     return resample.union_sources(*parts)
 
 
-def _fold_weights(counts: Mapping[tuple[int, int], int], parts: frozenset[int], params: Params) -> tuple[float, ...] | None:
+def fold_weights(counts: Mapping[tuple[int, int], int], parts: frozenset[int], params: Params) -> tuple[float, ...] | None:
     """Balanced class weights with the low-star boost over some row groups."""
     if not params.use_class_weight:
         return None
@@ -172,13 +172,13 @@ def cross_validate_many(df: DataFrame, candidates: Sequence[tuple[str, Params]])
             family, params = candidates[i]
             # only margins need rows of their own
             learns = groups(fold, False) | (frozenset() if family == "svm" else groups(fold, True))
-            plans.append(_plan(family, learns, params, _fold_weights(counts, learns, params)))
+            plans.append(_plan(family, learns, params, fold_weights(counts, learns, params)))
         made = stacked.fit_families(table, plans, [groups(fold, True) for _, fold in linear])
         models |= {key: L.StarModel(candidates[key[0]][0], base.mode, stages) for key, stages in zip(linear, made)}
     for i, (family, params) in enumerate(candidates):
         if family == "boosted":
             parts = [
-                boosting.Part(groups(f, False), groups(f, True), _fold_weights(counts, groups(f, False), params))
+                boosting.Part(groups(f, False), groups(f, True), fold_weights(counts, groups(f, False), params))
                 for f in range(base.folds)
             ]
             settings = L.boosting_settings(params)
@@ -226,28 +226,6 @@ def search(
     return found.join(F.broadcast(names), "candidate").orderBy("mae_mean", "candidate")
 
 
-def ablate_features(df: DataFrame, combinations: Mapping[str, Mapping], params: Params = Params(), family: str = "logistic") -> DataFrame:
-    """Mean and deviation over folds per feature combination; vectorisers are fitted inside the folds."""
-    folded = stage(resample.kfold(df.select("review_id", "text", "user_rating"), params.folds, params.seed), "review_id")
-    parts = []
-    for name, changes in combinations.items():
-        chosen = params.override(**changes)
-        for fold in range(params.folds):
-            train, held = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
-            vectoriser = FE.fit_features(train, chosen)
-            ready = stage(vectoriser.transform(train).select("review_id", "user_rating", "features"))
-            # Calibration rows: a slice of the training folds that the fit does not see.
-            split = resample.holdout_split(ready, 0.2, params.seed + 1)
-            rows = _labelled(split.filter("split <> 'holdout'").drop("split"), chosen)
-            calibration = _labelled(split.filter("split = 'holdout'").drop("split"), chosen)
-            model = L.fit(family, rows, calibration, chosen)
-            scored = M.bundle(model.predict(vectoriser.transform(held)), (), hard=True)
-            parts.append(scored.select(F.lit(name).alias("combination"), F.lit(fold).alias("fold"), "mae", "accuracy", "f1_macro"))
-    from starlens.operators.experiments import fold_summary
-
-    return fold_summary(resample.union_sources(*parts), ["mae", "accuracy", "f1_macro"])
-
-
 def encoder_grid(
     encoded: Mapping[str, Callable[[], DataFrame]],
     families: Sequence[str] = ("logistic",),
