@@ -293,7 +293,7 @@ class Descent:
         step, change = self.length * self.direction, slope - self.slope
         if float((step * change).sum()) > 1e-12 * float((change**2).sum()):
             self.steps = [*self.steps[-MEMORY + 1 :], (step, change)]
-        flat = self.value - value <= 1e-9 * max(1.0, abs(self.value))
+        flat = self.value - value <= 1e-7 * max(1.0, abs(self.value))
         self.x, self.value, self.slope = self.x + step, value, slope
         self.left -= 1
         self.done = self.left <= 0 or flat
