@@ -52,8 +52,9 @@ def compare_families(
     rows, others = _labelled(train, params), _labelled(validation, params)
     judged = validation if evaluation is None else evaluation
     models, parts = {}, []
-    if params.mode != "regression":
-        models = _fit_linear_families(rows, others, params, [f for f in families if f in LINEAR])
+    together = [f for f in families if f in LINEAR]
+    if len(together) > 1 and params.mode != "regression":
+        models = _fit_linear_families(rows, others, params, together)
     for order, family in enumerate(families):
         if family not in models:
             models[family] = L.fit(family, rows, others, params)
@@ -81,8 +82,6 @@ def _plan(family: str, groups, params: Params, class_weight=None) -> stacked.Pla
 
 def _fit_linear_families(rows: DataFrame, others: DataFrame, params: Params, families: Sequence[str]) -> dict[str, L.StarModel]:
     """The linear families in one stack; the sigmoids learn from ``others``."""
-    if not families:
-        return {}
     table = stacked.blocks(rows.withColumn("part", F.lit(0)).unionByName(others.withColumn("part", F.lit(1))))
     made = stacked.fit_families(table, [_plan(f, {0}, params) for f in families], [frozenset({1})] * len(families))
     return {f: L.StarModel(f, params.mode, stages) for f, stages in zip(families, made)}
