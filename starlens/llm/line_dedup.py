@@ -30,6 +30,17 @@ def line_hash(key: Column) -> Column:
     return F.when(key.isNotNull(), F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
 
 
+def text_digest() -> Column:
+    """128 bits of the whole text; null counts as empty."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.struct(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+
+
+def each_row() -> Column:
+    """Tells rows without an id, or with one that repeats, apart by their texts; orders by id first."""
+    return F.struct(key_of(), text_digest())
+
+
 def site_of(column: str = "source") -> Column:
     """The site as a non-null string; all rows without one are one site."""
     return F.coalesce(F.concat(F.lit("s"), F.col(column).cast("string")), F.lit(""))
@@ -72,33 +83,35 @@ def remove_spread_lines(
     Null texts stay null; empty texts and blank lines stay as they are; a
     document of nothing but boilerplate is left with an empty text.  Rows that
     repeat a doc_id are treated as one document, a null doc_id as the smallest.
-    With ``identity`` its value, not null, tells documents apart and orders
-    them instead of the id.  All columns of ``docs`` are kept, and ``text``
+    With ``identity`` (such as ``each_row()``) its value, not null, tells
+    documents apart and orders them instead of the id.  A long text is one row
+    of work: its lines are struck by their places, in time that grows with
+    their number.  All columns of ``docs`` are kept, and ``text``
     alone changes.
     """
     identity = key_of() if identity is None else identity
     split = F.split(F.col("text"), BREAK)
     lines = stage(
-        docs.select(identity.alias("key"), site_of().alias("site"), F.explode(split).alias("line"))
-        .select("key", "site", line_hash(line_key(F.col("line"))).alias("h"))
+        docs.select(identity.alias("key"), text_digest().alias("row"), site_of().alias("site"), F.posexplode(split).alias("at", "line"))
+        .select("key", "row", "site", "at", line_hash(line_key(F.col("line"))).alias("h"))
         .where("h is not null")
-        .select("key", "site", "h.h1", "h.h2")
+        .select("key", "row", "site", "at", "h.h1", "h.h2")
     )
     spread = stage(spread_lines(lines, min_sites))
-    key, gone, left, told = free_names(docs, "key", "struck", "cleaned", "line_dedup")
+    key, row, gone, left, told = free_names(docs, "key", "row", "struck", "kept", "line_dedup")
+    # rows of one identity whose texts differ, such as all without an id, have places of their own
     struck = (
-        lines.select("key", "h1", "h2")
+        lines.select("key", "row", "at", "h1", "h2")
         .join(spread, ["h1", "h2"])
         .where((F.col("key") != F.col("first_key")) if keep_first else F.lit(True))
-        .select(F.col("key").alias(key), F.struct("h1", "h2").alias("h"))
-        .groupBy(key).agg(F.collect_set("h").alias(gone))
+        .groupBy(F.col("key").alias(key), F.col("row").alias(row)).agg(F.collect_set("at").alias(gone))
     )
     touched = F.col(gone).isNotNull() & F.col("text").isNotNull()
-    cleaned = F.filter(split, lambda x: ~F.coalesce(F.array_contains(gone, line_hash(line_key(x))), F.lit(False)))
+    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
     return (
-        docs.withColumn(key, identity)
-        .join(struck, key, "left")
-        .withColumn(left, F.when(touched, cleaned))
+        docs.withColumn(key, identity).withColumn(row, text_digest())
+        .join(struck, [key, row], "left")
+        .withColumn(left, F.when(touched, places))
         .withColumn(
             told,
             F.struct(
@@ -106,6 +119,6 @@ def remove_spread_lines(
                 F.when(touched, F.size(split) - F.size(left)).otherwise(0).cast("long").alias("n_removed"),
             ),
         )
-        .withColumn("text", F.when(touched, F.array_join(left, BREAK)).otherwise(F.col("text")))
+        .withColumn("text", F.when(touched, F.array_join(F.transform(left, lambda i: F.get(split, i)), BREAK)).otherwise(F.col("text")))
         .select(*docs.columns, told)
     )

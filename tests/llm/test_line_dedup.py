@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from starlens.llm.line_dedup import remove_spread_lines, spread_lines
+from starlens.llm.line_dedup import each_row, remove_spread_lines, spread_lines
 
 BLANKS = " \t\n\v\f\r"
 
@@ -52,5 +52,25 @@ def test_near_threshold_is_exact(spark):
     assert got == set(range(29, 60))
 
 
+def test_rows_without_ids_are_told_apart(docs, given):
+    for df in (docs, given):
+        few = df.withColumn("doc_id", F.when(F.xxhash64("text") % 3 > 0, F.col("doc_id") % 7))
+        rows = [(r.doc_id, r.text, r.source) for r in few.collect()]
+        for least in (2, 3):
+            assert Counter((r.doc_id, r.text) for r in remove_spread_lines(few, least).collect()) == brute(rows, least)
+            # by id and text, the first row alone keeps a line
+            names = {x: i for i, x in enumerate(sorted((r["k"], r["text"] or "") for r in few.select(each_row().alias("k"), "text").collect()))}
+            told = few.select("doc_id", "text", "source", each_row().alias("k")).collect()
+            want = Counter(t for _, t in brute([(names[(r["k"], r["text"] or "")], r["text"], r["source"]) for r in told], least).elements())
+            assert Counter(r.text for r in remove_spread_lines(few, least, identity=each_row()).collect()) == want
+
+
+def test_long_text_of_boilerplate(spark):
+    text = "\n".join(f"line {i % 5000}" for i in range(60000))
+    df = spark.createDataFrame([(i, f"{text}\nown {i}", f"s{i}") for i in range(3)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in remove_spread_lines(df, 3).collect()}
+    assert got == {0: f"{text}\nown 0", 1: "own 1", 2: "own 2"}
+
+
 def test_empty_table(nothing):
     assert remove_spread_lines(nothing).count() == 0
