@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starlens.llm.common import NO_ID, components, free_names, key_of, stage
+from starlens.llm.common import components, stage
 
 BITS = 64
 SEED = 42
@@ -47,7 +47,7 @@ def fingerprint_of(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, fp): one row per row of ``docs``; fp holds the 64 bits as a signed long.
+    """(doc_id, fp): one row per row of ``docs``; fp holds the 64 bits as a signed long.
 
     Words are runs of characters other than the six ASCII blanks, with A-Z in
     lower case; ``bytes.split`` cuts at exactly these.  Null text counts as
@@ -59,15 +59,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             texts = batch.column("text")
             prints = np.fromiter((fingerprint_of(t.as_py()) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(prints.view(np.int64))], ["doc_id", "key", "fp"]
+                [batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"]
             )
 
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        key_of().alias("key"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
     )
-    return texts.mapInArrow(run, "doc_id long, key long, fp long")
+    return texts.mapInArrow(run, "doc_id long, fp long")
 
 
 def segment_bounds(segments: int = SEGMENTS) -> list[tuple[int, int]]:
@@ -172,44 +171,25 @@ def similar_pairs(
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
-    Documents link when their fingerprints differ in at most ``radius`` bits;
-    the component's name is the smallest doc_id that can be reached.  Only one
-    owner per distinct fingerprint takes part in the search, so copies cost one
-    row each.  Null text counts as empty; empty texts have fingerprint zero and
-    link like any other.  Repeated rows come back as often as given.  A null
-    doc_id sorts before all others and comes back as null.  Empty tables give
-    empty results; other columns are not read.
+    Documents link when their fingerprints differ in at most ``radius`` bits,
+    and by nothing else: rows that share an id, or have none, stay apart.  The
+    component's name is the smallest doc_id that can be reached; it is null
+    where no row that can be reached has an id.  Each distinct fingerprint
+    takes part in the search once, so copies cost one row each.  Null text
+    counts as empty; empty texts have fingerprint zero and link like any other.
+    Very long texts are hashed in parts and vote with all their shingles; a bit
+    that is set in exactly half of them is 0.  Repeated rows come back as often
+    as given.  Empty tables give empty results; other columns are not read.
     """
     prints = stage(fingerprints(docs))
-    owners = stage(prints.groupBy("fp").agg(F.min("key").alias("owner")))
-    # an id that comes with several fingerprints joins their classes
-    twice = prints.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    several = (
-        prints.join(twice.select("key"), "key", "left_semi").select("key", "fp").distinct()
-        .join(owners, "fp").select(F.col("key").alias("a"), F.col("owner").alias("b"))
-    )
-    found = components(similar_pairs(owners, radius).unionByName(several))
-    classes = stage(
-        owners.join(found, F.col("owner") == F.col("node"), "left").select(
-            "fp", F.coalesce("component", "owner").alias("component")
+    owners = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(similar_pairs(owners.select(F.col("fp").alias("owner"), "fp"), radius))
+    named = stage(
+        owners.join(found, F.col("fp") == F.col("node"), "left").select(
+            "fp", "least", F.coalesce("component", "fp").alias("component")
         )
     )
-    return prints.join(classes, "fp").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component") != F.lit(NO_ID), F.col("component")).alias("component_id"),
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(named.select("fp", "component").join(names, "component").drop("component"), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component, all columns kept.
-
-    Of rows that repeat such an id one stays.
-    """
-    groups = stage(near_duplicates(docs, radius))
-    (key,) = free_names(docs, "key")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key_of().alias(key)).distinct()
-    out = docs.withColumn(key, key_of()).join(kept, key, "left_semi")
-    if not groups.groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([key])
-    return out.drop(key)
