@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from starlens.llm.sharding import assign, hilbert_index, shard_ranges, write_shards
 
@@ -48,5 +49,42 @@ def test_written(given, tmp_path, spark):
     assert {r.doc_id: r.shard for r in back.collect()} == {r.doc_id: r.shard for r in where.collect()}
 
 
+@pytest.mark.parametrize("table", ["docs", "given"])
+def test_equal_texts_stand_together(request, table):
+    df = request.getfixturevalue(table)
+    # ids that are null or repeat must not part or join anything
+    for rows in (df, df.withColumn("doc_id", F.when(F.xxhash64("text") % 3 > 0, F.col("doc_id") % 5))):
+        found = assign(rows, 6).collect()
+        assert len(found) == df.count()
+        runs = defaultdict(list)
+        for at, r in enumerate(sorted(found, key=lambda r: (r.shard, r.slot))):
+            runs[(r.size, r.text_crc32)].append(at)
+        assert all(x == list(range(x[0], x[0] + len(x))) for x in runs.values())
+
+
+@pytest.mark.parametrize("table", ["docs", "given"])
+def test_order_is_that_of_the_curve(request, table):
+    """Cells by brute force: strings by rows with smaller whole values, numbers by the quantiles they exceed."""
+    df = request.getfixturevalue(table).withColumn("source", F.concat(F.lit("https://www.site/"), "source"))
+    rows = df.select("doc_id", "text", "source", "lang").collect()
+    key = lambda v: (v is not None, (v or "").encode())
+    cells = []
+    for column in ("source", "lang"):
+        values = sorted((r[column] for r in rows), key=key)
+        cells.append({v: values.index(v) * 16 // len(values) for v in set(values)})
+    low = -(1 << 70)
+    ids = sorted(low if r.doc_id is None else r.doc_id for r in rows)
+    cuts = [ids[max(0, -(-i * len(ids) // 16) - 1)] for i in range(1, 16)]
+    points = [
+        [cells[0][r.source], cells[1][r.lang], sum((low if r.doc_id is None else r.doc_id) > c for c in cuts)] for r in rows
+    ]
+    place = dict()
+    for r, p in zip(rows, hilbert_index(np.array(points))):
+        text = zlib.crc32((r.text or "").encode())
+        place[text] = min(place.get(text, p), p)
+    found = [place[r.text_crc32] for r in sorted(assign(df, 6).collect(), key=lambda r: (r.shard, r.slot))]
+    assert len(set(place.values())) > 10 and found == sorted(found)
+
+
 def test_empty_table(nothing):
     assert assign(nothing).count() == 0
