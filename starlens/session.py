@@ -75,16 +75,17 @@ def _split_bytes(spark: SparkSession) -> int:
     )
 
 
-def stage(df: DataFrame, key: str | None = None) -> DataFrame:
+def stage(df: DataFrame, key: str | None = None, **options) -> DataFrame:
     """Write a table that several later passes read, and go on from the written files.
 
     The files lie in the shared folder, so a lost executor costs no
     recomputation of what came before, and later passes read only the columns
     they need.  With a ``key`` (empty for no
-    particular one) a small table is spread over the cores again.
+    particular one) a small table is spread over the cores again.  ``options``
+    are those of the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/starlens-stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     return stored if key is None else spread(stored, key)
