@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,8 +141,8 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CENTROIDS, round
     """Learn from (doc_id, text, lang); rows without a text, a letter or a lang teach nothing.
 
     Document frequencies count all rows.  Each language's centroids come from
-    about ``fit_rows`` of its rows, drawn by a hash of the doc_id, clustered by
-    one task per language.
+    about ``fit_rows`` of its rows, drawn by a hash of doc_id and text without
+    repeats, clustered by one task per language.
     """
     labelled = labelled.where("lang is not null and text is not null")
     sizes = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
@@ -154,24 +153,23 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CENTROIDS, round
     if not sizes:
         return LanguageModel((), idf, np.zeros((0, SIZE), np.float32), np.zeros(0))
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(fit_rows / r["count"]))])
-    drawn = labelled.where(hash_fraction("doc_id", F.lit("langid")) < share[F.col("lang")])
+    drawn = labelled.where(hash_fraction("doc_id", "text", F.lit("langid")) < share[F.col("lang")])
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "text"])
-        kept = [x for x in map(letters_of, frame["text"]) if x]
+    def run(group: pa.Table) -> pa.Table:
+        found = sorted(zip(*(group.column(c).to_pylist() for c in ("doc_id", "text", "lang"))), key=lambda r: (r[0] is None, r[:2]))
+        kept = [x for x in (letters_of(text) for _, text, _ in found) if x]
         if not kept:
-            return pd.DataFrame({"lang": [], "floor": [], "centroid": []}, dtype=object)
+            return learned_type.empty_table()
         centres, near = cluster(np.stack([vector_of(x, idf) for x in kept]).astype(np.float32), k, rounds)
-        return pd.DataFrame({
-            "lang": frame["lang"].iloc[0],
-            "floor": float(np.quantile(near, 0.01)) * REJECT_SHARE,
-            "centroid": [c.tolist() for c in centres],
-        })
+        floor = float(np.quantile(near, 0.01)) * REJECT_SHARE
+        columns = [[found[0][2]] * len(centres), [floor] * len(centres), [c.tolist() for c in centres]]
+        return pa.table(columns, schema=learned_type)
 
+    learned_type = pa.schema([("lang", pa.string()), ("floor", pa.float64()), ("centroid", pa.list_(pa.float32()))])
     learned = (
-        drawn.select("doc_id", "text", "lang")
+        drawn.select("doc_id", "text", "lang").distinct()
         .groupBy("lang")
-        .applyInPandas(run, "lang string, floor double, centroid array<float>")
+        .applyInArrow(run, "lang string, floor double, centroid array<float>")
         .collect()  # languages x centroids rows
     )
     learned.sort(key=lambda r: (r["lang"], r["centroid"]))
@@ -215,13 +213,12 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, all columns as they are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(place)
-            yield batch.filter(pa.array([not model.predict(t.as_py())[2] for t in texts], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def rejected(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            yield pa.array([model.predict(t.as_py())[2] for t in texts], pa.bool_())
 
-    place = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(~rejected("text"))
 
 
 def predictions(docs: DataFrame, **settings) -> DataFrame:
