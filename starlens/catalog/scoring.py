@@ -58,15 +58,14 @@ def docs(spark, folder):
     return vectorise.by_document(standard(spark, folder))
 
 
-def word_vocab(spark, folder, terms=None):
-    terms = vectorise.word_terms(docs(spark, folder)) if terms is None else terms
-    return vectorise.fit_vocabulary(terms, ranking.count_of(reviews(spark, folder)), MAX_WORDS)
+def word_vocab(spark, folder, totals=None):
+    totals = vectorise.word_totals(docs(spark, folder)) if totals is None else totals
+    return vectorise.vocabulary_of(totals, ranking.count_of(reviews(spark, folder)), MAX_WORDS)
 
 
 @query("a25_term_totals", "SELECT * FROM word_totals WHERE df >= 2 AND df <= 0.9e0 * (SELECT count(*) FROM standard)")
 def a25(spark, folder):
-    totals = vectorise.term_totals(vectorise.term_counts(vectorise.word_terms(docs(spark, folder))))
-    return vectorise.prune(totals, ranking.count_of(reviews(spark, folder)))
+    return vectorise.prune(vectorise.word_totals(docs(spark, folder)), ranking.count_of(reviews(spark, folder)))
 
 
 @query("w06_vocabulary", "SELECT term, df, ctf, round(idf, 6) AS idf FROM word_vocab")
@@ -78,14 +77,15 @@ def w06(spark, folder):
 def m01(spark, folder):
     # Tokenised once; the vocabulary and the weights read the stored lists.
     lists = vectorise.by_document(stage(vectorise.word_lists(standard(spark, folder))))
-    terms = vectorise.terms_of_lists(lists)
-    return r6(vectorise.weigh(terms, word_vocab(spark, folder, terms)), "weight")
+    vocab = word_vocab(spark, folder, vectorise.totals_of_lists(lists))
+    return r6(vectorise.weigh(vectorise.terms_of_lists(lists), vocab), "weight")
 
 
 @query("m02_char_tfidf", "SELECT review_id, term, round(weight, 6) AS weight FROM char_weights")
 def m02(spark, folder):
-    terms = vectorise.terms_of_bags(vectorise.by_document(stage(vectorise.word_bags(docs(spark, folder)))))
-    vocab = vectorise.fit_vocabulary(terms, ranking.count_of(reviews(spark, folder)), MAX_GRAMS)
+    texts = vectorise.by_document(stage(standard(spark, folder).select("review_id", "text")))
+    terms = vectorise.terms_of_bags(vectorise.word_bags(texts))
+    vocab = vectorise.vocabulary_of(vectorise.char_totals(texts), ranking.count_of(reviews(spark, folder)), MAX_GRAMS)
     return r6(vectorise.weigh(terms, vocab), "weight")
 
 
