@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from starlens.session import spread, stage
+from starlens.session import PART_BYTES, parts_of, spread, stage
 
 
 def largest_share(df):
@@ -47,3 +47,16 @@ def test_big_and_even_tables_are_not_shuffled(spark, one_file):
 def test_tables_without_files(spark):
     assert spread(spark.range(10)).count() == 10
     assert spread(spark.createDataFrame([], "a int")).count() == 0
+
+
+def test_parts_follow_the_texts_and_not_their_packed_bytes(spark, tmp_path):
+    """A table of equal texts is small on disk; its texts are not."""
+    folder = f"{tmp_path}/odd [name] {{1}}"
+    rows = spark.range(3000).select("id", F.expr("repeat('abcdefgh ', 2000)").alias("text"))
+    rows.coalesce(1).write.parquet(folder)
+    stored = spark.read.schema(rows.schema).parquet(folder.replace("[", "\\[").replace("]", "\\]").replace("{", "\\{").replace("}", "\\}"))
+    assert parts_of(stored) == -(-3000 * 18000 // PART_BYTES)
+    listed = stored.select(F.split("text", " ").alias("words"))
+    listed.write.parquet(f"{tmp_path}/lists")
+    assert parts_of(spark.read.parquet(f"{tmp_path}/lists")) == -(-3000 * 16000 // PART_BYTES)
+    assert parts_of(spark.createDataFrame([(1, "a")], "id int, text string")) == spark.sparkContext.defaultParallelism
