@@ -172,3 +172,18 @@ def test_early_stopping(spark):
     assert [r["best_mae"] for r in out] == [0.9, 0.7, 0.7, 0.7, 0.7, 0.5]
     assert [r["stale_epochs"] for r in out] == [0, 0, 1, 2, 3, 0] and out[0]["stop_epoch"] == 5
     assert [r["was_run"] for r in out] == [True] * 5 + [False]
+
+
+def test_unknown_tokens_are_not_digested(spark, synonyms):
+    """The digest of a swap stands behind the test for a synonym, and shuffled tokens need no comparing lambda."""
+    rows = spark.createDataFrame([(1, 0, "bad bad day"), (None, 0, "bad old day")], "review_id long, copy int, text string")
+    plan = augment.augment_text(rows, synonyms)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in plan and "array_sort" not in plan
+    got = augment.shuffle_tokens(rows, synonyms, 1.0)
+
+    def shuffled(i, text):
+        seed = ":".join(["42:order", *([] if i is None else [str(i)]), "0"])
+        words = [w for part in text.split(" ") for w in (part, " ")][:-1]
+        return "".join(w for _, _, w in sorted((hashlib.md5(f"{seed}:{p}".encode()).hexdigest(), p, w) for p, w in enumerate(words)))
+
+    assert {r["review_id"]: r["text"] for r in got.collect()} == {1: shuffled(1, "bad bad day"), None: shuffled(None, "bad old day")}
