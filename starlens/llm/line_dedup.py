@@ -19,15 +19,13 @@ DEVIATIONS = 5
 BREAK = "\n"
 
 
-def line_key(line: Column) -> Column:
-    """What makes lines equal: all characters except blanks around them; null for a blank line."""
-    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(bare != "", bare)
+#: The six ASCII blanks.
+BLANKS = " \t\n\v\f\r"
 
 
-def line_hash(key: Column) -> Column:
-    """128 bits of the line; null for a blank line."""
-    return F.when(key.isNotNull(), F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
+def line_key(line: Column) -> Column:
+    """What makes lines equal: all characters except blanks around them; empty for a blank line."""
+    return F.btrim(line, F.lit(BLANKS))
 
 
 def text_digest() -> Column:
@@ -91,11 +89,12 @@ def remove_spread_lines(
     """
     identity = key_of() if identity is None else identity
     split = F.split(F.col("text"), BREAK)
+    # what stands beside a generator is computed for each of its rows, so a text is digested before, and lines are trimmed in it
+    texts = docs.select(identity.alias("key"), text_digest().alias("row"), site_of().alias("site"), F.col("text").alias("text"))
     lines = stage(
-        docs.select(identity.alias("key"), text_digest().alias("row"), site_of().alias("site"), F.posexplode(split).alias("at", "line"))
-        .select("key", "row", "site", "at", line_hash(line_key(F.col("line"))).alias("h"))
-        .where("h is not null")
-        .select("key", "row", "site", "at", "h.h1", "h.h2")
+        texts.select("key", "row", "site", F.posexplode(F.transform(split, line_key)).alias("at", "line"))
+        .where("line <> ''")
+        .select("key", "row", "site", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     )
     spread = stage(spread_lines(lines, min_sites))
     key, row, gone, left, told = free_names(docs, "key", "row", "struck", "kept", "line_dedup")

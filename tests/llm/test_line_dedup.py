@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from starlens.llm import line_dedup
 from starlens.llm.line_dedup import each_row, remove_spread_lines, spread_lines
 
 BLANKS = " \t\n\v\f\r"
@@ -72,5 +73,22 @@ def test_long_text_of_boilerplate(spark):
     assert got == {0: f"{text}\nown 0", 1: "own 1", 2: "own 2"}
 
 
+def test_blanks_before_other_line_ends_count(spark):
+    """Only blanks around the whole line are left out, not those in front of another character that ends lines."""
+    rows = [(i, f"own {i}\nseen {end}", f"s{i}") for i, end in enumerate(["\u2028", "\u0085", " \u2028", "  \u0085", "\u2028\t", "\r"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for least in (2, 3):
+        got = Counter((r.doc_id, r.text) for r in remove_spread_lines(df, least).collect())
+        assert got == brute(rows, least)
+
+
+def test_texts_are_digested_once_and_not_for_each_line(docs, monkeypatch):
+    plans = []
+    monkeypatch.setattr(line_dedup, "stage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    remove_spread_lines(docs)
+    above, generated, below = plans[0].partition("Generate posexplode")
+    assert generated and "coalesce(text" not in above and "coalesce(text" in below
+
+
 def test_empty_table(nothing):
     assert remove_spread_lines(nothing).count() == 0
