@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starlens.llm import langid, line_dedup, mixing, packing, shingle_dedup
+from starlens.llm import langid, line_dedup, mixing, packing, shingle_dedup, simhash_dedup
 from starlens.llm.catalog import documents, tokenizer_path
 from starlens.session import stage
 
@@ -28,8 +28,12 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group that a similarity of 0.8 or more on five-word shingles connects."""
-    return shingle_dedup.one_per_group(docs)
+    """Keep the first document of each group of near duplicates.
+
+    Documents link when their SimHash fingerprints do (``simhash_dedup``), or
+    at a similarity of 0.8 or more on five-word shingles.
+    """
+    return shingle_dedup.one_per_group(docs, simhash_dedup.near_duplicates)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -257,14 +257,23 @@ def across(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
+def _links_of(named: DataFrame, owners: DataFrame) -> DataFrame:
+    """Links (a, b) of the rows (node) that ``named`` (doc_id, component_id) puts into one component."""
+    own = stage(owners.select(F.col("node").alias("doc_id")).join(named.select("doc_id", "component_id"), "doc_id"))
+    first = own.groupBy("component_id").agg(F.min("doc_id").alias("a"))
+    return own.join(first, "component_id").where(F.col("a") != F.col("doc_id")).select("a", F.col("doc_id").alias("b"))
+
+
+def one_per_group(docs: DataFrame, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The first row by (doc_id, place) of each group of near copies, all columns kept.
 
     Rows link when the sets of their five-word shingles have a Jaccard
     similarity of 0.8 or more (on 64-bit hashes), or when their words are the
     same; a group is what links connect.  Rows are told apart by their place
     in a stored copy, so null and repeated ids link nothing.  Null text counts
-    as empty, and texts without words are copies of each other.
+    as empty, and texts without words are copies of each other.  With ``near``,
+    such as ``simhash_dedup.near_duplicates``, rows link as well if it puts
+    them into one component (it gets doc_id, the row's place, and text).
     """
     (row,) = free_names(docs, "row")
     rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), compression="zstd")
@@ -277,7 +286,10 @@ def one_per_group(docs: DataFrame) -> DataFrame:
         prints.join(owners.select("node"), F.col("row") == F.col("node"))
         .select("node", "size", F.explode("buckets").alias("bucket"))
     )
-    found = components(similar_links(rows, row, filed))
+    links = similar_links(rows, row, filed)
+    if near is not None:
+        links = links.unionByName(_links_of(near(rows.select(F.col(row).alias("doc_id"), "text")), owners))
+    found = components(links)
     kept = (
         owners.join(found, "node", "left")
         .groupBy(F.coalesce("component", "node"))

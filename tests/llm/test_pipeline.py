@@ -48,6 +48,16 @@ def test_one_document_of_each_similar_group(steps):
     assert {r.doc_id for r in steps[3].collect()} == set(groups.values())
 
 
+def test_fingerprints_link_documents(spark):
+    """Texts that mostly repeat one phrase have near fingerprints, though few of their different shingles are shared."""
+    phrase = "one phrase again " * 200
+    own = [" ".join(f"{c}{i}" for i in range(20)) for c in "abc"]
+    rows = [(9, phrase + own[0]), (4, phrase + own[1]), (None, own[2]), (7, own[2] + " " + own[0]), (3, own[1] + " end"), (6, phrase + own[1])]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 4, 7]
+
+
 def test_null_ids_share_nothing(spark):
     """Of documents without ids one alone keeps a boilerplate line, and different ones all stay."""
     rows = [(None if i % 3 == 0 else i, f"own{i} a{i} b{i} c{i} d{i}\nsign up here", "en", f"s{i}", 0) for i in range(36)]
