@@ -100,9 +100,10 @@ def encode_offline(df: DataFrame, kind: str, size: int = 256, text: str = "text"
     """Add ``features``: unit-length text vectors from an encoder that needs no download.
 
     ``hashing`` counts hashed words; ``word2vec`` averages word vectors that it
-    learns from the given texts.
+    learns from the given texts.  The words are stored, since learning reads
+    them twice and encoding once more.
     """
-    words = compute_once(df, "_words", T.tokens(T.extended(F.col(text))))
+    words = stage(compute_once(df, "_words", T.tokens(T.extended(F.col(text)))))
     if kind == "hashing":
         made = HashingTF(numFeatures=size, inputCol="_words", outputCol="_raw").transform(words)
     elif kind == "word2vec":

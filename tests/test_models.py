@@ -193,3 +193,12 @@ def test_stored_models_are_evaluated(spark, tmp_path):
     assert [r["model"] for r in skipped.collect()] == ["absent"]
     with pytest.raises(ValueError):
         evaluate_stored(spark, ["absent"], str(tmp_path), rows)
+
+
+def test_encoders_cut_texts_into_words_once(spark):
+    """What an encoder reads is a stored table of words, however often it does."""
+    rows = spark.createDataFrame([(i, f"อร่อย good food {i % 3}") for i in range(12)], "review_id long, text string")
+    for kind in ("hashing", "word2vec"):
+        out = FE.encode_offline(rows, kind, size=8)
+        assert out.columns == ["review_id", "text", "features"] and out.count() == 12
+        assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
