@@ -84,7 +84,7 @@ def m01(spark, folder):
 @query("m02_char_tfidf", "SELECT review_id, term, round(weight, 6) AS weight FROM char_weights")
 def m02(spark, folder):
     texts = vectorise.by_document(stage(standard(spark, folder).select("review_id", "text")))
-    terms = vectorise.terms_of_bags(vectorise.word_bags(texts))
+    terms = vectorise.char_terms(texts, nested=True)
     vocab = vectorise.vocabulary_of(vectorise.char_totals(texts), ranking.count_of(reviews(spark, folder)), MAX_GRAMS)
     return r6(vectorise.weigh(terms, vocab), "weight")
 
