@@ -97,9 +97,9 @@ def coefficients(vocab):
     return vocab.select("term", F.array(*draws).alias("coef"))
 
 
-def model(spark, folder):
+def model(spark, folder, totals=None):
     # Fitted once; the scoring passes read the stored artefact (at most MAX_WORDS rows).
-    vocab = stage(word_vocab(spark, folder).coalesce(1))
+    vocab = stage(word_vocab(spark, folder, totals).coalesce(1))
     return LinearModel(vocab, coefficients(vocab), INTERCEPTS)
 
 
@@ -136,9 +136,10 @@ _logit_parts("doc", "word_weights", "standard", "review_id")
     "SELECT review_id, round(expected, 6) AS ai_expected_rating, round(e5 / (e1 + e2 + e3 + e4 + e5), 6) AS p5 FROM doc_rated",
 )
 def m14(spark, folder):
-    m = model(spark, folder)
-    texts = docs(spark, folder)
-    weighted = vectorise.weigh(vectorise.word_terms(texts), m.vocabulary)
+    # Normalised once; the vocabulary and the weights read the stored texts.
+    texts = vectorise.by_document(stage(standard(spark, folder).select("review_id", "text")))
+    m = model(spark, folder, vectorise.word_totals(texts))
+    weighted = vectorise.weigh(vectorise.word_terms(texts, nested=True), m.vocabulary)
     out = linear.predict(texts, weighted, m.coefficients, m.intercepts)
     return r6(out.select("review_id", "ai_expected_rating", F.col("probs")[4].alias("p5")), "ai_expected_rating", "p5")
 
