@@ -130,3 +130,35 @@ def test_sigmoids_are_at_their_minimum(spark):
 def test_no_rows(spark):
     empty = table_of(spark, given_rows(True)).where("false")
     assert S.fit(S.blocks(empty), PLANS[:1])[0].shape == (1, 5)
+
+
+def test_blocks_hold_full_and_sparse_vectors_and_come_one_by_one(spark, monkeypatch):
+    """A batch of vectors becomes blocks without lists of Python numbers; each is a row group's worth at most."""
+    listed = [
+        (Vectors.sparse(5, [(1, 2.0), (4, 3.0)]), 0.0, 1.0, 0), (Vectors.dense([1.0, 0.0, 2.0, 0.0, 5.0]), 1.0, 2.0, 1),
+        (Vectors.sparse(5, []), 2.0, 1.0, 1), (Vectors.sparse(5, [(0, 7.0)]), 3.0, 0.5, 0),
+    ]
+    table = S.blocks(spark.createDataFrame(listed, ["features", "label", "weight", "part"]).coalesce(1))
+    found = []
+    for row in table.collect():
+        b = S.block_of(row)
+        dense = b.times(np.eye(5))
+        found += [(dense[i].tolist(), b.label[i], b.weight[i], b.part[i]) for i in range(b.rows)]
+    assert found == [(v.toArray().tolist(), a, w, p) for v, a, w, p in listed]
+
+
+def test_a_view_is_a_table_of_its_own_columns(spark):
+    """Models that look at a table through a view are those of a table with its columns."""
+    rows = given_rows(True)
+    x, label, weight, part, _ = rows
+    view = S.View(np.array([2, -1, 0, -1, 1, 3, -1, -1, -1]), np.array([2.0, 0, 1, 0, 0.5, 1, 0, 0, 0]), 4)
+    own = np.stack([x[:, 2], x[:, 4] * 0.5, x[:, 0] * 2, x[:, 5]], axis=1)
+    vectors = [Vectors.sparse(4, [(i, v) for i, v in enumerate(r) if v]) for r in own]
+    plan = S.Plan("logistic", frozenset({0, 1}), strength=2.0, iterations=300)
+    alone = S.fit(S.blocks(table_of(spark, (own, label, weight, part, vectors))), [plan])[0]
+    seen = S.Plan("logistic", frozenset({0, 1}), strength=2.0, iterations=300, view=0)
+    table = S.blocks(table_of(spark, rows))
+    fitted = S.fit(table, [seen], [view])
+    assert fitted[0].shape == (5, 5) and np.allclose(fitted[0], alone, atol=1e-3)
+    judged = S.judged(table, [seen], fitted, [frozenset({3})], [view])
+    assert judged.count() == (part == 3).sum()
