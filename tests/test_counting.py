@@ -54,6 +54,7 @@ def batches(rows, rng):
 def test_batches_give_plain_counts(monkeypatch, kind, low, high, most):
     monkeypatch.setattr(counting, "WORDS", 7)
     monkeypatch.setattr(counting, "TERMS", most)
+    monkeypatch.setattr(counting, "KEPT", most)
     rng = np.random.default_rng(3)
     for _ in range(25):
         rows, want = drawn(rng), defaultdict(Counter)
